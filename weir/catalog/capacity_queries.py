@@ -6,6 +6,7 @@ from ..functions import queueing as Q
 from ..operators import capacity as C
 from ..operators import partitions as N
 from ..operators import transitions as S
+from ..session import materialize
 from ..sources import records as R
 from . import inputs as I
 from .registry import query
@@ -71,16 +72,17 @@ SUGGEST = f"""SELECT s.topology, s.cid, CASE WHEN min_total <= plan_total THEN m
 
 @query("suggest_allocation", with_(SUGGEST, "svck", "totals"))
 def suggest_allocation(spark, sf):
-    s = I.services(spark, sf)
+    s = materialize(I.services(spark, sf))
     return C.suggest_allocation(s, C.server_totals(s).select("topology", F.col("plan_total").alias("total")))
 
 
 @query("min_alloc_for_target", with_("SELECT topology, cid, k FROM plan_a", "plan_a"))
 def min_alloc_for_target(spark, sf):
-    per = I.services(spark, sf).groupBy("topology").agg(F.sum(1.0 / F.col("mu")).alias("f"))
+    s = materialize(I.services(spark, sf))
+    per = s.groupBy("topology").agg(F.sum(1.0 / F.col("mu")).alias("f"))
     factor = F.when(F.col("topology") == "t8", 0.5).otherwise(1.3)
     targets = per.select("topology", (F.col("f") * factor).alias("target_s"), F.lit(1.1).alias("adj"))
-    return C.min_allocation_for_target(I.services(spark, sf), targets)
+    return C.min_allocation_for_target(s, targets)
 
 
 @query("capacity_report", with_(f"""SELECT topology, {q6('est_ms')}, round(real_ms, 6) AS real_ms, round(ratio, 6) AS ratio, est_ms < qos_ms AS est_ok, real_ms < qos_ms AS real_ok,
@@ -90,7 +92,8 @@ def min_alloc_for_target(spark, sf):
   FROM chain JOIN goals USING (topology) JOIN target_r USING (topology) JOIN totals USING (topology)
   JOIN (SELECT topology, sum(k) AS need, bool_and(k IS NOT NULL) AS reachable FROM plan_r GROUP BY 1) USING (topology))""", "chain", "goals", "target_r", "totals", "plan_r"))
 def capacity_report(spark, sf):
-    rep = C.capacity_report(I.services(spark, sf), I.goals(spark, sf).select("topology", "qos_ms", "real_ms"))
+    s = materialize(I.services(spark, sf))
+    rep = C.capacity_report(s, I.goals(s).select("topology", "qos_ms", "real_ms"))
     return rep.select("topology", r6("est_ms"), F.round("real_ms", 6).alias("real_ms"), F.round("ratio", 6).alias("ratio"), "est_ok", "real_ok", "plan_total", "min_plan_total", "extra", "action")
 
 
@@ -114,13 +117,13 @@ def parse_transitions(spark, sf):
 
 @query("transition_prob", with_("SELECT from_state, to_state, round(p / sum(p) OVER (PARTITION BY from_state), 6) AS prob FROM trans", "trans"))
 def transition_prob(spark, sf):
-    return S.transition_prob(frequencies(spark, sf)).select("from_state", "to_state", F.round("prob", 6).alias("prob"))
+    return S.transition_prob(materialize(frequencies(spark, sf))).select("from_state", "to_state", F.round("prob", 6).alias("prob"))
 
 
 @query("neighbor_prob", with_("""SELECT state, neighbor, round(p / sum(p) OVER (PARTITION BY state), 6) AS prob FROM (SELECT state, neighbor, sum(p) AS p FROM (
   SELECT from_state AS state, to_state AS neighbor, p FROM trans UNION ALL SELECT to_state, from_state, p FROM trans WHERE from_state <> to_state) GROUP BY ALL)""", "trans"))
 def neighbor_prob(spark, sf):
-    return S.neighbor_prob(frequencies(spark, sf)).select("state", "neighbor", F.round("prob", 6).alias("prob"))
+    return S.neighbor_prob(materialize(frequencies(spark, sf))).select("state", "neighbor", F.round("prob", 6).alias("prob"))
 
 
 @query("distinct_states", with_("SELECT from_state AS state FROM trans UNION SELECT to_state FROM trans", "trans"))
@@ -131,23 +134,23 @@ def distinct_states(spark, sf):
 # --- partition plans --------------------------------------------------------
 
 
-def ranges(spark, sf):
-    return N.sizes_to_ranges(I.plans(spark, sf))
+def ranges(items):
+    return N.sizes_to_ranges(I.plans(items))
 
 
-def plan_pairs(spark, sf):
-    ids = I.plans(spark, sf).select("plan_id").distinct()
+def plan_pairs(plans):
+    ids = plans.select("plan_id").distinct()
     pairs = ids.select(F.col("plan_id").alias("plan_a"), F.explode(F.array(*[F.lit(g) for g in (4, 6, 8)])).alias("plan_b"))
     return pairs.where("plan_a <> plan_b")
 
 
-def overlaps(spark, sf):
-    return N.plan_overlap(I.items(spark, sf), ranges(spark, sf), plan_pairs(spark, sf))
+def overlaps(items):
+    return N.plan_overlap(items, ranges(items), plan_pairs(I.plans(items)))
 
 
 @query("plan_ranges", with_("SELECT grp, plan_id, bucket, lo AS start_idx, hi AS end_idx, hi - lo + 1 AS size FROM ranges", "ranges"))
 def plan_ranges(spark, sf):
-    r = ranges(spark, sf)
+    r = ranges(I.items(spark, sf))
     back = N.ranges_to_sizes(r)
     both = r.join(back, ["grp", "plan_id", "bucket"])
     return both.select("grp", "plan_id", "bucket", F.col("start").alias("start_idx"), F.col("end").alias("end_idx"), "size")
@@ -168,30 +171,34 @@ def load_cap(spark, sf):
 def plan_validate(spark, sf):
     """Some plans are made one item too long."""
     wrong = (F.col("plan_id") == 8) & (F.col("bucket") == 1) & F.col("grp").like("%1")
-    plans = I.plans(spark, sf).withColumn("size", F.col("size") + F.when(wrong, 1).otherwise(0))
-    return N.plan_validate(I.items(spark, sf), plans)
+    items = I.written_items(spark, sf)
+    plans = I.plans(items).withColumn("size", F.col("size") + F.when(wrong, 1).otherwise(0))
+    return N.plan_validate(items, plans)
 
 
 @query("plan_feasible", with_("""SELECT grp, plan_id, bool_and(load <= lim) AS feasible FROM (SELECT grp, plan_id, bucket, lim, sum(least(w, lim)) AS load FROM (
   SELECT p.*, t.total / p.plan_id * 1.05 AS lim FROM placed p JOIN (SELECT grp, sum(w) AS total FROM items GROUP BY 1) t USING (grp)) GROUP BY ALL) GROUP BY ALL""", "placed", "items"))
 def plan_feasible(spark, sf):
-    return N.plan_feasible(I.items(spark, sf), ranges(spark, sf), 1.05)
+    items = I.written_items(spark, sf)
+    return N.plan_feasible(items, ranges(items), 1.05)
 
 
 @query("plan_imbalance", with_("""SELECT grp, plan_id, round(sum((load - m) * (load - m)) + 3e-7, 3) AS imbalance FROM (SELECT *, avg(load) OVER (PARTITION BY grp, plan_id) AS m FROM (
   SELECT grp, plan_id, bucket, coalesce(load, 0) AS load FROM plans LEFT JOIN (SELECT grp, plan_id, bucket, sum(w) AS load FROM placed GROUP BY ALL) USING (grp, plan_id, bucket))) GROUP BY ALL""", "placed", "plans"))
 def plan_imbalance(spark, sf):
-    return N.plan_imbalance(I.items(spark, sf), ranges(spark, sf)).select("grp", "plan_id", F.round(F.col("imbalance") + 3e-7, 3).alias("imbalance"))
+    items = I.written_items(spark, sf)
+    return N.plan_imbalance(items, ranges(items)).select("grp", "plan_id", F.round(F.col("imbalance") + 3e-7, 3).alias("imbalance"))
 
 
 @query("plan_overlap", with_("SELECT grp, plan_a, plan_b, bucket_a, bucket_b, round(overlap, 2) AS overlap FROM overlap", "overlap"))
 def plan_overlap(spark, sf):
-    return overlaps(spark, sf).withColumn("overlap", F.round("overlap", 2))
+    return overlaps(I.written_items(spark, sf)).withColumn("overlap", F.round("overlap", 2))
 
 
 @query("plan_move_cost", with_("SELECT grp, plan_a, plan_b, round(kept, 2) AS kept, round(total - kept, 2) AS moved FROM cost", "cost"))
 def plan_move_cost(spark, sf):
-    c = N.plan_move_cost(I.items(spark, sf), overlaps(spark, sf))
+    items = I.written_items(spark, sf)
+    c = N.plan_move_cost(items, overlaps(items))
     return c.select("grp", "plan_a", "plan_b", F.round("kept", 2).alias("kept"), F.round("moved", 2).alias("moved"))
 
 
@@ -202,7 +209,8 @@ def plan_move_cost(spark, sf):
   JOIN cost c ON c.grp = s.grp AND ((c.plan_a = s.plan_a AND c.plan_b = s.plan_b) OR (s.plan_a = s.plan_b AND c.plan_a = 4 AND c.plan_b = 6))
   WHERE s.plan_a IS NOT NULL) GROUP BY grp""", "cost"))
 def chain_move_cost(spark, sf):
-    costs = N.plan_move_cost(I.items(spark, sf), overlaps(spark, sf))
+    items = I.written_items(spark, sf)
+    costs = materialize(N.plan_move_cost(items, overlaps(items)))
     c = N.chain_move_cost(I.chain_steps(spark, sf), costs)
     return c.select("grp", "steps", F.round("moved", 2).alias("moved"), F.round(F.col("avg_moved") + 3e-7, 2).alias("avg_moved"), F.round("share", 6).alias("share"))
 
@@ -216,5 +224,6 @@ def weighted_buckets(spark, sf):
   SELECT grp, plan_a, plan_b, bucket_b, max(overlap) AS best FROM overlap GROUP BY ALL) GROUP BY grp, plan_b""", "overlap"))
 def plan_expected_keep(spark, sf):
     p = F.when(F.col("plan_a") == 4, 0.5).when(F.col("plan_a") == 6, 0.3).otherwise(0.2)
-    weights = I.plans(spark, sf).select(F.col("plan_id").alias("plan_a")).distinct().withColumn("p", p)
-    return N.plan_expected_keep(overlaps(spark, sf), weights).select("grp", "plan_b", F.round("expected", 4).alias("expected"))
+    items = I.written_items(spark, sf)
+    weights = I.plans(items).select(F.col("plan_id").alias("plan_a")).distinct().withColumn("p", p)
+    return N.plan_expected_keep(overlaps(items), weights).select("grp", "plan_b", F.round("expected", 4).alias("expected"))

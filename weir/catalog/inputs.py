@@ -9,6 +9,7 @@ from ..functions.text import strip_punctuation, words
 from ..functions.time import epoch_ms
 from ..operators import patterns as P
 from ..scale import Lag, RowNumber, ordered_scan
+from ..session import materialize
 from ..sources import metric_lines as L
 from ..sources.records import encode_record
 
@@ -211,9 +212,9 @@ def services(spark, sf):
     return rows.withColumn("k", k.cast("bigint")).drop("t", "r")
 
 
-def goals(spark, sf):
+def goals(services):
     """Latency target and measured latency per topology, in ms."""
-    per = services(spark, sf).groupBy("topology").agg(F.sum(1.0 / F.col("mu")).alias("floor_s"))
+    per = services.groupBy("topology").agg(F.sum(1.0 / F.col("mu")).alias("floor_s"))
     t = F.expr("cast(substring(topology, 2) as int)")
     factor = F.when(t % 4 == 1, 1.2).otherwise(2.2)
     return per.select("topology", "floor_s", (F.col("floor_s") * 1000 * factor).alias("qos_ms"), (F.col("floor_s") * 1500).alias("real_ms"))
@@ -232,9 +233,14 @@ def items(spark, sf):
     return ranked.select("grp", (F.col("idx") - 1).alias("idx"), "w", "size")
 
 
-def plans(spark, sf):
+def written_items(spark, sf):
+    """Items written once, for queries that read them several times."""
+    return materialize(items(spark, sf))
+
+
+def plans(items):
     """Even plans with 4, 6 and 8 buckets per brand."""
-    sizes = items(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = items.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     rows = sizes.withColumn("plan_id", F.explode(F.array(*[F.lit(g) for g in (4, 6, 8)])))
     rows = rows.withColumn("bucket", F.explode(F.sequence(F.lit(1), F.col("plan_id"))))
     size = F.expr("n div plan_id + if(bucket <= n % plan_id, 1, 0)")

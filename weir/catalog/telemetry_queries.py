@@ -266,14 +266,14 @@ def rolling_history(spark, sf):
     return history(spark, sf).select("component", "type", "metric", "stream", "cycle", "cnt", *r4("total", "total_2"), "empty", "cycles")
 
 
-LOADED = f"""SELECT component, type, cycle, 3 AS n_tasks, ac, at, pc, pt, CASE WHEN sc = 0 THEN 0 ELSE st / sc END AS send_len, CASE WHEN rc = 0 THEN 0 ELSE rt / rc END AS recv_len,
-    CASE WHEN ac = 0 THEN 0 ELSE at / ac END / 10.0 AS rate, CASE WHEN pc = 0 THEN 0 ELSE pt / pc END AS avg_ms FROM (
-  SELECT component, type, cycle, sum(cnt) FILTER (WHERE metric = 'recv-queue-arrivals') AS ac, sum(total) FILTER (WHERE metric = 'recv-queue-arrivals') AS at,
+LOADED = f"""SELECT component, type, cycle, 3 AS n_tasks, ac, arr, pc, pt, CASE WHEN sc = 0 THEN 0 ELSE st / sc END AS send_len, CASE WHEN rc = 0 THEN 0 ELSE rt / rc END AS recv_len,
+    CASE WHEN ac = 0 THEN 0 ELSE arr / ac END / 10.0 AS rate, CASE WHEN pc = 0 THEN 0 ELSE pt / pc END AS avg_ms FROM (
+  SELECT component, type, cycle, sum(cnt) FILTER (WHERE metric = 'recv-queue-arrivals') AS ac, sum(total) FILTER (WHERE metric = 'recv-queue-arrivals') AS arr,
     coalesce(sum(cnt) FILTER (WHERE metric = 'process'), 0) AS pc, coalesce(sum(total) FILTER (WHERE metric = 'process'), 0) AS pt,
     sum(cnt) FILTER (WHERE metric = 'send-queue-length') AS sc, sum(total) FILTER (WHERE metric = 'send-queue-length') AS st,
     sum(cnt) FILTER (WHERE metric = 'recv-queue-length') AS rc, sum(total) FILTER (WHERE metric = 'recv-queue-length') AS rt FROM ({{}}) GROUP BY ALL)"""
 LOAD_SQL = """SELECT component, type, cycle, CAST(n_tasks AS BIGINT) AS n_tasks, round(rate * 3, 4) AS lam, round(CASE WHEN avg_ms = 0 THEN 'Infinity'::DOUBLE ELSE 1000 / avg_ms END, 4) AS mu,
-  round(rate * avg_ms / 1000, 6) AS rho, round(CASE WHEN pc = 0 THEN 0 ELSE (at - ac) / pc END, 4) AS input_ratio FROM ({})"""
+  round(rate * avg_ms / 1000, 6) AS rho, round(CASE WHEN pc = 0 THEN 0 ELSE (arr - ac) / pc END, 4) AS input_ratio FROM ({})"""
 
 
 @query("svc_load", with_(LOAD_SQL.format(LOADED.format(HISTORY)), "meas"))

@@ -6,11 +6,13 @@ second and ``k`` servers. All questions are answered for all topologies at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cmv
 from ..functions import queueing as Q
+from ..scale import RowNumber, RunningSum, range_scan
+from ..session import materialize
 
 
 def _lm() -> tuple[Column, Column]:
@@ -101,15 +103,14 @@ def _ranked_gains(services: DataFrame, extra: str) -> DataFrame:
 
     ``extra`` is a per-topology column with the number of servers to consider.
     Sojourn time is convex in k, so taking the largest drops in order equals
-    adding one server at a time to the best service. The window holds the
-    services of one chain times its spare servers.
+    adding one server at a time to the best service.
     """
     lam, mu = _lm()
     steps = services.where(F.col(extra) > 0).withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(extra).cast("bigint"))))
     k = F.col("min_k") + F.col("step") - 1
     gained = steps.withColumn("gain", Q.erlang_sojourn(lam, mu, k) - Q.erlang_sojourn(lam, mu, k + 1))
-    best = Window.partitionBy("topology").orderBy(F.desc("gain"), "cid", "step")
-    return gained.withColumn("rank", F.row_number().over(best))
+    gained = gained.withColumn("order", -F.col("gain"))
+    return range_scan(gained, ["topology"], ["order", "cid", "step"], [RowNumber("rank"), RunningSum("gained", "gain")])
 
 
 def suggest_allocation(services: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -154,8 +155,7 @@ def min_allocation_for_target(services: DataFrame, targets: DataFrame) -> DataFr
     bound = rows.groupBy("topology").agg(F.sum("more").alias("bound"))
     rows = rows.join(bound, "topology")
     ranked = _ranked_gains(rows.where("feasible"), "bound")
-    upto = Window.partitionBy("topology").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    left = (F.col("base_s") - F.coalesce(F.sum("gain").over(upto), F.lit(0.0))) * F.col("adj")
+    left = (F.col("base_s") - (F.col("gained") - F.col("gain"))) * F.col("adj")
     # A server is added while the target is missed without it.
     taken = ranked.withColumn("before", left).where(F.col("before") > F.col("target_s"))
     won = taken.groupBy("topology", "cid").agg(F.count(F.lit(1)).alias("won"))
@@ -171,9 +171,9 @@ def capacity_report(services: DataFrame, goals: DataFrame) -> DataFrame:
     estimated = chain_latency(services).select("topology", F.col("latency_ms").alias("est_ms"))
     rows = estimated.join(goals, "topology").join(server_totals(services), "topology")
     rows = rows.withColumn("real_ms", F.coalesce("real_ms", "est_ms"))
-    rows = rows.withColumn("ratio", F.greatest(F.lit(1.0), F.col("real_ms") / F.col("est_ms")))
+    rows = materialize(rows.withColumn("ratio", F.greatest(F.lit(1.0), F.col("real_ms") / F.col("est_ms"))))
     targets = rows.select("topology", (F.col("qos_ms") / 1000.0).alias("target_s"), F.col("ratio").alias("adj"))
-    plan = min_allocation_for_target(services, targets)
+    plan = materialize(min_allocation_for_target(services, targets))
     reachable = plan.groupBy("topology").agg(F.bool_and(F.col("k").isNotNull()).alias("reachable"), F.sum("k").alias("min_plan_total"))
     known = services.join(reachable.where("reachable").select("topology"), "topology", "left_semi")
     reached = chain_latency(known, plan).select("topology", F.col("latency_ms").alias("min_plan_ms"))

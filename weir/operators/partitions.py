@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import DEFAULT_WIDTH, RunningSum, ordered_scan
+from ..scale import DEFAULT_WIDTH, GroupSum, RunningSum, ordered_scan
 
 
 def load_cap(items: DataFrame, buckets: int, ratio: float = 1.3) -> DataFrame:
@@ -135,10 +135,9 @@ def chain_move_cost(steps: DataFrame, costs: DataFrame) -> DataFrame:
 
 def weighted_buckets(items: DataFrame, buckets: int, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Adds ``bucket`` (1-based): cuts at equal cumulative weight. A heuristic, not the optimal cut."""
-    summed = ordered_scan(items, ["grp"], ["idx"], [RunningSum("cum", "w")], width)
-    totals = items.groupBy("grp").agg(F.sum("w").alias("total"))
+    summed = ordered_scan(items, ["grp"], ["idx"], [RunningSum("cum", "w"), GroupSum("total", "w")], width)
     place = F.ceil(F.col("cum") / F.col("total") * buckets)
-    return summed.join(totals, "grp").withColumn("bucket", F.greatest(place, F.lit(1)).cast("bigint")).drop("cum", "total")
+    return summed.withColumn("bucket", F.greatest(place, F.lit(1)).cast("bigint")).drop("cum", "total")
 
 
 def plan_expected_keep(overlap: DataFrame, weights: DataFrame) -> DataFrame:

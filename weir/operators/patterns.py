@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..scale import RunningSum, dense_index, dense_int_index, ordered_scan
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 
 def dictionary_from_lines(lines: DataFrame, seq: str = "seq", word: str = "word") -> DataFrame:
@@ -85,8 +85,11 @@ def prune_infrequent_items(net: DataFrame, threshold: int) -> DataFrame:
 
 
 def frequent_patterns(net: DataFrame, threshold: int, max_items: int = A.MAX_ITEMS) -> DataFrame:
-    """Patterns with count >= threshold by subset expansion of the pruned baskets."""
-    pruned = prune_infrequent_items(net, threshold)
+    """Patterns with count >= threshold by subset expansion of the pruned baskets.
+
+    The folded baskets are read twice (item counts, expansion) and written once.
+    """
+    pruned = prune_infrequent_items(materialize(net), threshold)
     return pattern_counts(pruned, max_items).where(F.col("cnt") >= threshold)
 
 
@@ -96,19 +99,18 @@ def frequent_patterns_by_level(net: DataFrame, threshold: int) -> DataFrame:
     Level k extends the frequent patterns of size k - 1 inside each basket by
     one larger frequent item, so rows grow with frequent patterns only.
     """
-    ensure_checkpoint_dir(net.sparkSession)
-    base = prune_infrequent_items(net, threshold).checkpoint()
+    base = materialize(prune_infrequent_items(materialize(net), threshold))
     step = base.select("ids", "n", F.explode("ids").alias("item")).select("ids", "n", F.array("item").alias("pattern"))
     found = None
     while True:
-        counts = step.groupBy("pattern").agg(F.sum("n").alias("cnt")).where(F.col("cnt") >= threshold).checkpoint()
+        counts = materialize(step.groupBy("pattern").agg(F.sum("n").alias("cnt")).where(F.col("cnt") >= threshold))
         if counts.isEmpty():
             break
         found = counts if found is None else found.unionByName(counts)
         held = step.join(counts.select("pattern"), "pattern", "left_semi")
         larger = F.filter("ids", lambda x: x > F.element_at("pattern", -1))
         step = held.withColumn("item", F.explode(larger)).select("ids", "n", F.array_append("pattern", F.col("item")).alias("pattern"))
-        step = step.checkpoint()
+        step = materialize(step)
     if found is None:
         return step.groupBy("pattern").agg(F.sum("n").alias("cnt"))
     return found
@@ -120,12 +122,14 @@ def maximal_patterns(frequent: DataFrame) -> DataFrame:
     Every subset of a frequent pattern is frequent, so it is enough to strike
     out the patterns one item short of another frequent pattern.
     """
+    frequent = materialize(frequent)
     covered = frequent.select(F.explode(A.drop_one_subsets("pattern")).alias("pattern")).distinct()
     return frequent.join(covered, "pattern", "left_anti")
 
 
 def reference_counts(frequent: DataFrame, max_items: int = A.MAX_ITEMS) -> DataFrame:
     """(pattern, cnt, ref_count): frequent proper supersets of each frequent pattern."""
+    frequent = materialize(frequent)
     refs = expand_subsets(frequent, "pattern", proper=True, max_items=max_items)
     refs = refs.groupBy("pattern").agg(F.count(F.lit(1)).alias("ref_count"))
     return frequent.join(refs, "pattern", "left").fillna(0, ["ref_count"])

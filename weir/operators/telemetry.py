@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cmv
 from ..functions.time import bucket_start
-from ..scale import LastValue, RunningSum, RowNumber, dense_int_index, ordered_scan
-from ..session import ensure_checkpoint_dir
+from ..scale import GroupCount, Lag, LastValue, RowNumber, RunningSum, dense_int_index, ordered_scan
+from ..session import materialize
 from ..sources import metric_lines as L
 
 HOUR_MS = 3_600_000
+DAY_MS = 86_400_000
 LIST_ROWS = 100_000
 
 
@@ -126,24 +127,32 @@ def snapshot_ffill(reports: DataFrame, keys: Sequence[str], cycle: str = "cycle"
     Cycles without any report do not exist. ``reports`` has one row per key and
     cycle, so a key has at most as many rows as there are cycles.
     """
-    cycles = dense_int_index(reports.select(cycle).distinct(), cycle, "__idx")
+    # Both are read several times below; the reports themselves only once.
+    reports = materialize(reports)
+    cycles = materialize(dense_int_index(reports.select(cycle).distinct(), cycle, "__idx"))
     indexed = reports.join(cycles, cycle)
-    by_key = Window.partitionBy(*keys).orderBy("__idx")
     last = cycles.select(F.max("__idx") + 1).scalar()
-    until = indexed.withColumn("__until", F.coalesce(F.lead("__idx").over(by_key), last))
+    # The previous row in backward order is the next report of the key.
+    back = ordered_scan(indexed.withColumn("__back", -F.col("__idx")), keys, ["__back"], [Lag("__next", "__idx")])
+    until = back.withColumn("__until", F.coalesce("__next", last)).drop("__back", "__next")
     spread = until.withColumn("__at", F.explode(F.sequence(F.col("__idx"), F.col("__until") - 1)))
     spread = spread.withColumnRenamed(cycle, "reported_cycle").drop("__idx", "__until")
     return spread.join(cycles.withColumnRenamed("__idx", "__at"), "__at").drop("__at")
 
 
-def rolling_history(rows: DataFrame, keys: Sequence[str], cycle: str = "cycle", size: int = 4) -> DataFrame:
+def rolling_history(rows: DataFrame, keys: Sequence[str], cycle: str = "cycle", size: int = 4, width: int = 1000 * DAY_MS) -> DataFrame:
     """CMV columns summed over the last ``size`` cycles of each key.
 
-    ``rows`` has one row per key and cycle; the window sees cycles, not samples.
+    ``rows`` has one row per key and cycle; ``width`` is in units of ``cycle``.
     """
-    last = Window.partitionBy(*keys).orderBy(cycle).rowsBetween(-(size - 1), 0)
-    sums = [F.sum(c).over(last).alias(c) for c in cmv.CMV]
-    return rows.select(*keys, cycle, *sums, F.count(F.lit(1)).over(last).alias("cycles"))
+    ranked = ordered_scan(materialize(rows), keys, [cycle], [RowNumber("__r")], width)
+    r = F.col("__r")
+    # Each row adds to its own cycle and to the size - 1 cycles that follow.
+    spread = ranked.withColumn("__at", F.explode(F.sequence(r, r + (size - 1))))
+    sums = [F.sum(c).alias(c) for c in cmv.CMV]
+    own = F.max(F.when(F.col("__at") == r, F.col(cycle))).alias(cycle)
+    merged = spread.groupBy(*keys, "__at").agg(own, *sums, F.count(F.lit(1)).alias("cycles"))
+    return merged.where(F.col(cycle).isNotNull()).drop("__at")
 
 
 def execution_load(parsed: DataFrame) -> DataFrame:
@@ -160,13 +169,12 @@ def key_prefix_range(df: DataFrame, prefix: str, key: str = "key") -> DataFrame:
 
 def even_groups(df: DataFrame, groups: int, keys: Sequence[str], order: str) -> DataFrame:
     """Adds ``tile``: contiguous groups per key, the first n mod g one row larger."""
-    ranked = ordered_scan(df, keys, [order], [RowNumber("__r")])
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = ordered_scan(df, keys, [order], [RowNumber("__r"), GroupCount("__n")])
     n, r = F.col("__n"), F.col("__r") - 1
     base, extra = F.floor(n / groups), n % groups
     wide = extra * (base + 1)
     tile = F.when(r < wide, F.floor(r / (base + 1))).otherwise(extra + F.floor((r - wide) / F.greatest(base, F.lit(1))))
-    return ranked.join(sizes, list(keys)).withColumn("tile", (tile + 1).cast("bigint")).drop("__n", "__r")
+    return ranked.withColumn("tile", (tile + 1).cast("bigint")).drop("__n", "__r")
 
 
 # --- latest values ----------------------------------------------------------
@@ -279,8 +287,7 @@ def greedy_cuts(times: DataFrame, interval_ms: int, key: str = "component", time
     themselves, so the chain of cuts is found in log2(length) joins and no key
     is walked in one task.
     """
-    ensure_checkpoint_dir(times.sparkSession)
-    marks = times.select(key, time).distinct().checkpoint()
+    marks = materialize(times.select(key, time).distinct())
     # Scan backwards in time; a question at t + interval sees marks strictly later.
     t = F.col(time)
     asked = F.array(
@@ -289,13 +296,13 @@ def greedy_cuts(times: DataFrame, interval_ms: int, key: str = "component", time
     )
     events = marks.withColumn("e", F.explode(asked)).select(key, time, "e.*")
     seen = ordered_scan(events, [key], ["x", "kind"], [LastValue("next", "mark")], width_ms)
-    jumps = seen.where("kind = 0 AND next IS NOT NULL").select(key, time, "next").checkpoint()
+    jumps = materialize(seen.where("kind = 0 AND next IS NOT NULL").select(key, time, "next"))
     cuts = marks.groupBy(key).agg(F.min(time).alias(time))
     while not jumps.isEmpty():
         reached = cuts.join(jumps, [key, time]).select(key, F.col("next").alias(time))
-        cuts = cuts.unionByName(reached).distinct().checkpoint()
+        cuts = materialize(cuts.unionByName(reached).distinct())
         far = jumps.select(key, F.col(time).alias("next"), F.col("next").alias("far"))
-        jumps = jumps.join(far, [key, "next"]).select(key, time, F.col("far").alias("next")).checkpoint()
+        jumps = materialize(jumps.join(far, [key, "next"]).select(key, time, F.col("far").alias("next")))
     return cuts
 
 
@@ -304,7 +311,7 @@ def greedy_segments(rows: DataFrame, interval_ms: int, value: str, key: str = "c
 
     Segment i ends where cut i is made; rows from the last cut on are dropped.
     """
-    per_time = rows.groupBy(key, time).agg(F.count(F.lit(1)).alias("cnt"), F.sum(value).alias("load")).checkpoint()
+    per_time = materialize(rows.groupBy(key, time).agg(F.count(F.lit(1)).alias("cnt"), F.sum(value).alias("load")))
     cuts = greedy_cuts(per_time, interval_ms, key, time, width_ms).withColumn("cut", F.lit(1))
     marked = per_time.join(cuts, [key, time], "left").fillna(0, ["cut"])
     numbered = ordered_scan(marked, [key], [time], [RunningSum("segment", "cut")], width_ms)

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..scale import RowNumber, ordered_scan
 
 # Rows of one word in one block stay below DOCS_PER_BLOCK times the words of a text.
-DOCS_PER_BLOCK = 256
+DOCS_PER_BLOCK = 2048
 
 
 def tokenize(df: DataFrame, text: str, keep: Sequence[str] = (), pattern: str = T.WHITESPACE) -> DataFrame:

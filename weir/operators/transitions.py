@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import Lag, ordered_scan
@@ -17,18 +17,20 @@ def transition_freq(states: DataFrame, entity: str = "entity", seq: str = "seq",
 
 
 def transition_prob(transitions: DataFrame) -> DataFrame:
-    """Row-normalised p per source state (one row per pair of states)."""
-    by_source = Window.partitionBy("from_state")
-    return transitions.withColumn("prob", F.col("p") / F.sum("p").over(by_source))
+    """Adds ``prob``: p divided by the sum of p over the source state."""
+    totals = transitions.groupBy("from_state").agg(F.sum("p").alias("__total"))
+    return transitions.join(totals, "from_state").withColumn("prob", F.col("p") / F.col("__total")).drop("__total")
 
 
 def neighbor_prob(transitions: DataFrame) -> DataFrame:
     """(state, neighbor, prob): both directions added, then normalised per state."""
-    forward = transitions.select(F.col("from_state").alias("state"), F.col("to_state").alias("neighbor"), "p")
+    ends = F.struct(F.col("from_state").alias("state"), F.col("to_state").alias("neighbor"))
+    back = F.struct(F.col("to_state").alias("state"), F.col("from_state").alias("neighbor"))
     # A loop is one entry, not two.
-    back = forward.where("state <> neighbor").select(F.col("neighbor").alias("state"), F.col("state").alias("neighbor"), "p")
-    both = forward.unionByName(back).groupBy("state", "neighbor").agg(F.sum("p").alias("p"))
-    return both.select("state", "neighbor", (F.col("p") / F.sum("p").over(Window.partitionBy("state"))).alias("prob"))
+    ways = F.when(F.col("from_state") == F.col("to_state"), F.array(ends)).otherwise(F.array(ends, back))
+    both = transitions.select(F.explode(ways).alias("w"), "p").groupBy("w.state", "w.neighbor").agg(F.sum("p").alias("p"))
+    totals = both.groupBy("state").agg(F.sum("p").alias("__total"))
+    return both.join(totals, "state").select("state", "neighbor", (F.col("p") / F.col("__total")).alias("prob"))
 
 
 def distinct_states(transitions: DataFrame) -> DataFrame:

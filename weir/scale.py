@@ -12,6 +12,10 @@ Blocks come from one of two places:
 * ``range_blocks``: Spark's range partitioner, for any order columns. The
   partitioned rows are checkpointed, because a second evaluation could sample
   other borders.
+
+``ordered_scan`` reads its input twice, once for the rows and once for the
+block summaries. That is two column-pruned file scans for a table; callers with
+an expensive input ``materialize`` it first.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import ensure_checkpoint_dir
+from .session import materialize
 
 DEFAULT_WIDTH = 1_000_000
 BLOCK = "__block"
@@ -59,7 +63,22 @@ class LastValue:
     value: str
 
 
-Spec = RowNumber | RunningSum | Lag | LastValue
+@dataclass(frozen=True)
+class GroupCount:
+    """Rows of the whole group."""
+
+    out: str
+
+
+@dataclass(frozen=True)
+class GroupSum:
+    """Sum of ``value`` over the whole group."""
+
+    out: str
+    value: str
+
+
+Spec = RowNumber | RunningSum | Lag | LastValue | GroupCount | GroupSum
 
 
 def int_block(order: str, width: int) -> Column:
@@ -85,10 +104,9 @@ def range_scan(
 
 
 def range_blocks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocked = df.repartitionByRange(parts, *cols).withColumn(BLOCK, F.spark_partition_id())
-    return blocked.checkpoint(eager=True)
+    return materialize(blocked)
 
 
 def _scan(df: DataFrame, group: Sequence[str], order: Sequence[str], specs: Sequence[Spec]) -> DataFrame:
@@ -97,6 +115,7 @@ def _scan(df: DataFrame, group: Sequence[str], order: Sequence[str], specs: Sequ
     # One row per (group, block): a window over these rows is short.
     borders = Window.partitionBy(*group).orderBy(BLOCK) if group else Window.orderBy(BLOCK)
     before = borders.rowsBetween(Window.unboundedPreceding, -1)
+    whole = borders.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     local, summary, carry, final = {}, {}, {}, {}
     rank = "__rank"
@@ -124,6 +143,14 @@ def _scan(df: DataFrame, group: Sequence[str], order: Sequence[str], specs: Sequ
             summary[s] = F.max_by(spec.value, known)
             carry[c] = F.last(s, ignorenulls=True).over(before)
             final[spec.out] = F.coalesce(F.col(l), F.col(c))
+        elif isinstance(spec, GroupCount):
+            summary[s] = F.count(F.lit(1))
+            carry[c] = F.sum(s).over(whole)
+            final[spec.out] = F.col(c)
+        elif isinstance(spec, GroupSum):
+            summary[s] = F.sum(spec.value)
+            carry[c] = F.sum(s).over(whole)
+            final[spec.out] = F.col(c)
 
     keys = [*group, BLOCK]
     sums = df.groupBy(*keys).agg(*[e.alias(n) for n, e in summary.items()])

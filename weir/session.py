@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that can change on a running session.
 RUNTIME_CONF = {
@@ -56,6 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result once to the checkpoint folder and read it from there.
+
+    For results that a plan uses several times or that must not be evaluated
+    twice. The files outlive lost executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for one streaming run (sink files and offsets)."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
