@@ -81,15 +81,19 @@ def object_lines(spark, sf):
     return o.select(encode_record(F.col("seq"), F.col("time"), line).alias("text"))
 
 
-def samples(spark, sf):
+def sample_columns(events):
     stream = F.when(F.col("event_id") % 3 == 0, "side").otherwise("default")
-    s = table(spark, sf, "events").select(
+    s = events.select(
         epoch_ms("ts").alias("time"), F.col("event_type").alias("component"),
         (F.col("user_id") % 4).cast("int").alias("task"), stream.alias("stream"), F.col("value").alias("ms"),
     )
     return s.where((F.expr(f"time div {DAY_MS}") + F.col("task")) % 5 != 0)
 
 
+def samples(spark, sf):
+    return sample_columns(table(spark, sf, "events"))
+
+
 def reports(spark, sf):
     """Daily totals per task and stream; some side streams report nothing."""
     s = samples(spark, sf).withColumn("cycle", F.col("time") - F.pmod("time", F.lit(DAY_MS)))
