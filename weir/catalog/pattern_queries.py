@@ -148,7 +148,7 @@ def outlier_merge(spark, sf):
 @query("outlier_per_arrival", with_("""SELECT seq, id, CAST(projection_id AS INTEGER) AS projection_id, obj_id, neighbors, neighbors < 5 AS is_outlier FROM (
   SELECT s.seq, s.id, s.projection_id, a.obj_id, count(*) FILTER (WHERE a.obj_id <> b.obj_id AND abs(a.v - b.v) <= 0.05) AS neighbors
   FROM obs s JOIN st a ON s.seq = a.seq AND s.projection_id = a.projection_id JOIN st b ON s.seq = b.seq AND s.projection_id = b.projection_id
-  WHERE s.seq >= 39 GROUP BY ALL)""", "proj").replace("\nSELECT seq, id, CAST(projection_id", """,
+  WHERE s.seq >= 40 GROUP BY ALL)""", "proj").replace("\nSELECT seq, id, CAST(projection_id", """,
 obs AS (SELECT seq, seq % 40 AS id, projection_id, pv FROM proj WHERE projection_id < 2),
 st AS (SELECT * FROM (SELECT o.seq, o.projection_id, i AS obj_id, last_value(CASE WHEN o.id = i THEN o.pv END IGNORE NULLS) OVER (
   PARTITION BY o.projection_id, i ORDER BY o.seq) AS v FROM obs o, (SELECT unnest(range(0, 40)) AS i)) WHERE v IS NOT NULL)

@@ -71,7 +71,7 @@ def outliers_per_arrival(projected: DataFrame, object_count: int, distance: floa
     """Flags of all objects at every arrival: (seq, id, projection_id, obj_id, neighbors, is_outlier).
 
     ``seq`` is a unique arrival number, ``id`` in 0..object_count-1. Rows appear
-    once every object has been seen. The result has one row per arrival, object
+    once every object, the arriving one included, has been seen before. The result has one row per arrival, object
     and projection by definition; the same grid carries the computation: the
     object that arrives gets a fresh count, every other object a step of +1, 0
     or -1, and the running sum since an object's own arrival is its count.
@@ -101,7 +101,7 @@ def outliers_per_arrival(projected: DataFrame, object_count: int, distance: floa
         steps.where("since IS NOT NULL"), ["projection_id", "obj_id", "since"], ["seq"],
         [RunningSum("neighbors", "step")], width,
     )
-    full = counted.where(F.col("known") == object_count)
+    full = counted.where((F.col("known") == object_count) & F.col("old").isNotNull())
     return full.select(
         "seq", "id", "projection_id", "obj_id", F.col("neighbors").cast("bigint").alias("neighbors"),
         (F.col("neighbors") < min_neighbors).alias("is_outlier"),
