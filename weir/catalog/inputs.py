@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_punctuation, words
 from ..functions.time import epoch_ms
 from ..operators import patterns as P
-from ..scale import Lag, RowNumber, ordered_scan
+from ..scale import Lag, RowNumber, ordered_scan, spread
 from ..session import materialize
 from ..sources import metric_lines as L
 from ..sources.records import encode_record
@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def sentences(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("sentence"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("sentence"))
+    return spread(docs, "seq")
 
 
 def stop_words(spark, sf):

@@ -29,10 +29,12 @@ def subsets(items: str, proper: bool = False, max_items: int = MAX_ITEMS) -> Col
     2^n arrays leave one row, so wide arrays fail loudly; use the level-wise
     miner for those.
     """
-    last = f"shiftleft(1, size({items})) - {2 if proper else 1}"
-    pick = f"filter({items}, (x, i) -> shiftright(m, i) % 2 = 1)"
-    none = f"filter(array({items}), x -> false)"
-    made = f"if({last} < 1, {none}, transform(sequence(1, greatest({last}, 1)), m -> {pick}))"
+    # Doubling: the subsets without x, then the same ones with x appended.
+    power = (
+        f"aggregate({items}, array(slice({items}, 1, 0)), (acc, x) -> concat(acc, transform(acc, s -> array_append(s, x))))"
+    )
+    # The first subset is empty, the last one is the whole array.
+    made = f"slice({power}, 2, shiftleft(1, size({items})) - {2 if proper else 1})"
     return F.when(F.expr(f"size({items}) <= {max_items}"), F.expr(made)).otherwise(
         F.raise_error(F.concat(F.lit("too many items for subset expansion: "), F.size(items).cast("string")))
     )

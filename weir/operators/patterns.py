@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..scale import RunningSum, dense_index, dense_int_index, ordered_scan
+from ..scale import RunningSum, broadcast_if_small, dense_index, dense_int_index, ordered_scan, parallelism
 from ..session import materialize
 
 
@@ -27,9 +27,10 @@ def dictionary_from_words(words: DataFrame, word: str = "word") -> DataFrame:
 def join_dictionary(baskets: DataFrame, dictionary: DataFrame, keep: Sequence[str] = ("seq", "is_add")) -> DataFrame:
     """One row per known word of a basket: (keep..., word, id).
 
-    The dictionary side is broadcast by Spark when its measured size allows it.
+    The dictionary is measured and broadcast when small.
     """
-    return baskets.select(*keep, F.explode("words").alias("word")).join(dictionary, "word").select(*keep, "word", "id")
+    words = baskets.select(*keep, F.explode("words").alias("word"))
+    return words.join(broadcast_if_small(dictionary), "word").select(*keep, "word", "id")
 
 
 def basket_ids(baskets: DataFrame, dictionary: DataFrame, keep: Sequence[str] = ("seq", "is_add")) -> DataFrame:
@@ -51,7 +52,11 @@ def net_baskets(baskets: DataFrame) -> DataFrame:
 
 def pattern_counts(net: DataFrame, max_items: int = A.MAX_ITEMS) -> DataFrame:
     """(pattern, cnt) for every pattern with a positive count."""
-    rows = expand_subsets(net, "ids", ["n"], max_items=max_items)
+    # Folded baskets are few bytes but many subsets. A partition count of our own
+    # keeps small partitions from being merged into one task; the second key
+    # keeps the planner from merging this shuffle into the one below.
+    wide = net.repartition(parallelism(net.sparkSession), "ids", "n")
+    rows = expand_subsets(wide, "ids", ["n"], max_items=max_items)
     return rows.groupBy("pattern").agg(F.sum("n").alias("cnt")).where("cnt > 0")
 
 
@@ -146,6 +151,6 @@ def maximal_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def pattern_words(patterns: DataFrame, dictionary: DataFrame, keep: Sequence[str] = ("cnt",)) -> DataFrame:
     """Patterns with their words in item order; an unknown id gives a null word."""
     items = patterns.select("pattern", *keep, F.posexplode("pattern").alias("pos", "id"))
-    named = items.join(dictionary.select("id", "word"), "id", "left")
+    named = items.join(broadcast_if_small(dictionary.select("id", "word")), "id", "left")
     listed = named.groupBy("pattern", *keep).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
     return listed.select("pattern", *keep, F.transform("w", lambda x: x["word"]).alias("words"))

@@ -287,7 +287,10 @@ def greedy_cuts(times: DataFrame, interval_ms: int, key: str = "component", time
     themselves, so the chain of cuts is found in log2(length) joins and no key
     is walked in one task.
     """
-    marks = materialize(times.select(key, time).distinct())
+    return _cuts(materialize(times.select(key, time).distinct()), interval_ms, key, time, width_ms)
+
+
+def _cuts(marks: DataFrame, interval_ms: int, key: str, time: str, width_ms: int) -> DataFrame:
     # Scan backwards in time; a question at t + interval sees marks strictly later.
     t = F.col(time)
     asked = F.array(
@@ -296,13 +299,18 @@ def greedy_cuts(times: DataFrame, interval_ms: int, key: str = "component", time
     )
     events = marks.withColumn("e", F.explode(asked)).select(key, time, "e.*")
     seen = ordered_scan(events, [key], ["x", "kind"], [LastValue("next", "mark")], width_ms)
-    jumps = materialize(seen.where("kind = 0 AND next IS NOT NULL").select(key, time, "next"))
+    jumps = [materialize(seen.where("kind = 0 AND next IS NOT NULL").select(key, time, "next"))]
+    # Cuts lie more than an interval apart, which bounds the chain.
+    span = marks.agg(F.max(time) - F.min(time)).first()[0] or 0
+    for _ in range((span // (interval_ms + 1) + 1).bit_length() - 1):
+        near = jumps[-1]
+        far = near.select(key, F.col(time).alias("next"), F.col("next").alias("far"))
+        jumps.append(materialize(near.join(far, [key, "next"]).select(key, time, F.col("far").alias("next"))))
     cuts = marks.groupBy(key).agg(F.min(time).alias(time))
-    while not jumps.isEmpty():
-        reached = cuts.join(jumps, [key, time]).select(key, F.col("next").alias(time))
-        cuts = materialize(cuts.unionByName(reached).distinct())
-        far = jumps.select(key, F.col(time).alias("next"), F.col("next").alias("far"))
-        jumps = materialize(jumps.join(far, [key, "next"]).select(key, time, F.col("far").alias("next")))
+    for jump in jumps:
+        # Cuts 0..n-1 lead to cuts n..2n-1, so no cut appears twice.
+        ends = F.array_compact(F.array(time, "next"))
+        cuts = cuts.join(jump, [key, time], "left").select(key, F.explode(ends).alias(time))
     return cuts
 
 
@@ -312,12 +320,12 @@ def greedy_segments(rows: DataFrame, interval_ms: int, value: str, key: str = "c
     Segment i ends where cut i is made; rows from the last cut on are dropped.
     """
     per_time = materialize(rows.groupBy(key, time).agg(F.count(F.lit(1)).alias("cnt"), F.sum(value).alias("load")))
-    cuts = greedy_cuts(per_time, interval_ms, key, time, width_ms).withColumn("cut", F.lit(1))
-    marked = per_time.join(cuts, [key, time], "left").fillna(0, ["cut"])
+    cuts = _cuts(per_time.select(key, time), interval_ms, key, time, width_ms).withColumn("cut", F.lit(1))
+    marked = materialize(per_time.join(cuts, [key, time], "left").fillna(0, ["cut"]))
     numbered = ordered_scan(marked, [key], [time], [RunningSum("segment", "cut")], width_ms)
-    loads = numbered.groupBy(key, "segment").agg(
+    loads = materialize(numbered.groupBy(key, "segment").agg(
         F.min(time).alias("start_time"), F.sum("cnt").alias("cnt"), F.sum("load").alias("load")
-    )
+    ))
     ends = loads.select(key, (F.col("segment") - 1).alias("segment"), F.col("start_time").alias("end_time"))
     return loads.join(ends, [key, "segment"]).select(
         key, F.col("segment").cast("bigint").alias("segment"), "start_time", "end_time", "cnt", "load"

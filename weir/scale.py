@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import materialize
@@ -81,6 +81,33 @@ class GroupSum:
 Spec = RowNumber | RunningSum | Lag | LastValue | GroupCount | GroupSum
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for work that is heavier than its input bytes suggest."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle a file scan that has fewer splits than the cluster has cores.
+
+    A file with one large row group is one task otherwise. Sources with enough
+    splits pass through unchanged. Meant for plain scans: counting the splits
+    of a plan with shuffles would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast hint when the measured size allows it, else the frame as it is.
+
+    Costs one aggregate over ``df``; for lookup tables whose size the planner
+    cannot know. Beyond the bound Spark joins by shuffle.
+    """
+    row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(16))
+    size = df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
 def int_block(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 
