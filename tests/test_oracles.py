@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL on the smallest tables, and its plan."""
 
 import os
 
@@ -11,6 +11,8 @@ from check import TABLES, rows_of
 from .conftest import SMALL
 
 QUERIES, SQL = queries(), oracle_sql()
+# Cross joins and Python in the plan.
+BAD_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas")
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +27,13 @@ def con():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     df = QUERIES[name](spark, SMALL)
+    got = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [b for b in BAD_NODES if b in plan]
     cur = con.execute(SQL[name])
     cols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(cols)
-    assert rows_of(df.columns, df.collect()) == rows_of(cols, cur.fetchall())
+    assert rows_of(df.columns, got) == rows_of(cols, cur.fetchall())
 
 
 def test_entry(spark):

@@ -60,17 +60,6 @@ def test_dense_index(spark):
     assert {r.seq: r.i for r in dense_int_index(gaps, "seq", "i", width=10).collect()} == {-3: 0, 5: 1, 100: 2}
 
 
-# Queries that run a stream or loop while they are built are covered elsewhere.
-RUNS = {n for n in queries() if n.endswith("_stream")} | {"src_text", "greedy_segments", "pattern_frequent_by_level"}
-
-
-@pytest.mark.parametrize("name", sorted(set(queries()) - RUNS))
-def test_no_cross_join_and_no_python(spark, name):
-    plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"):
-        assert bad not in plan
-
-
 def test_filters_and_columns_reach_the_scan(spark):
     plan = queries()["scan_range"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(event_id,100)" in plan and "LessThan(event_id,5100)" in plan

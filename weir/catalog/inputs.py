@@ -234,7 +234,7 @@ def items(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("w"), F.sum("l_extendedprice").alias("size"))
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("grp"))
     rows = lines.join(parts, lines.l_partkey == parts.p_partkey).select("grp", "p_partkey", "w", F.round("size", 2).alias("size"))
-    ranked = ordered_scan(rows, ["grp"], ["p_partkey"], [RowNumber("idx")])
+    ranked = ordered_scan(materialize(rows), ["grp"], ["p_partkey"], [RowNumber("idx")])
     return ranked.select("grp", (F.col("idx") - 1).alias("idx"), "w", "size")
 
 
@@ -258,7 +258,7 @@ def chain_steps(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("grp"))
     months = lines.join(parts, lines.l_partkey == parts.p_partkey).select("grp", "m").distinct()
     chain = months.withColumn("plan_b", F.expr("element_at(array(4, 6, 8), cast(m % 3 as int) + 1)"))
-    return ordered_scan(chain, ["grp"], ["m"], [Lag("plan_a", "plan_b")]).where("plan_a IS NOT NULL")
+    return ordered_scan(materialize(chain), ["grp"], ["m"], [Lag("plan_a", "plan_b")]).where("plan_a IS NOT NULL")
 
 
 def cluster(spark, sf):

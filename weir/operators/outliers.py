@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..scale import Lag, LastValue, RowNumber, RunningSum, ordered_scan, range_scan
+from ..scale import Lag, LastValue, RunningSum, ordered_scan, range_scan
+from ..session import materialize
 
 
 def walsh_rows(count: int, dim: int) -> list[list[float]]:
@@ -76,10 +77,8 @@ def outliers_per_arrival(projected: DataFrame, object_count: int, distance: floa
     object that arrives gets a fresh count, every other object a step of +1, 0
     or -1, and the running sum since an object's own arrival is its count.
     """
-    arrivals = ordered_scan(
-        projected.select("seq", "id", "projection_id", F.col("projection_value").alias("new")),
-        ["projection_id", "id"], ["seq"], [Lag("old", "new")], width,
-    )
+    values = materialize(projected.select("seq", "id", "projection_id", F.col("projection_value").alias("new")))
+    arrivals = materialize(ordered_scan(values, ["projection_id", "id"], ["seq"], [Lag("old", "new")], width))
     grid = arrivals.withColumn("obj_id", F.explode(F.sequence(F.lit(0), F.lit(object_count - 1))))
     own = F.col("obj_id") == F.col("id")
     grid = grid.withColumn("own_value", F.when(own, F.col("new"))).withColumn("own_seq", F.when(own, F.col("seq")))
@@ -89,7 +88,7 @@ def outliers_per_arrival(projected: DataFrame, object_count: int, distance: floa
     )
     near_new = F.coalesce(F.abs(F.col("new") - F.col("value")) <= distance, F.lit(False)).cast("int")
     near_old = F.coalesce(F.abs(F.col("old") - F.col("value")) <= distance, F.lit(False)).cast("int")
-    seen = seen.withColumn("near", near_new)
+    seen = materialize(seen.withColumn("near", near_new))
     # What the arriving object itself sees: one row per (projection, arrival).
     fresh = seen.groupBy("projection_id", "seq").agg(
         F.sum(F.when(~own, F.col("near")).otherwise(0)).alias("fresh"),

@@ -66,7 +66,7 @@ def clamped_pattern_counts(baskets: DataFrame, seq: str = "seq", max_items: int
     With running sum S, the clamped count is S minus the lowest value S ever
     had below 0. ``seq`` is a unique integer.
     """
-    rows = expand_subsets(baskets, "ids", [seq, "is_add"], max_items=max_items)
+    rows = expand_subsets(materialize(baskets), "ids", [seq, "is_add"], max_items=max_items)
     signed = rows.withColumn("step", F.when(F.col("is_add"), 1).otherwise(-1))
     scanned = ordered_scan(signed, ["pattern"], [seq], [RunningSum("s", "step")])
     last = scanned.groupBy("pattern").agg(F.sum("step").alias("total"), F.min("s").alias("low"))
