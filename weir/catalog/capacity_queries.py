@@ -115,15 +115,15 @@ def parse_transitions(spark, sf):
     return R.parse_transitions(lines)
 
 
-@query("transition_prob", with_("SELECT from_state, to_state, round(p / sum(p) OVER (PARTITION BY from_state), 6) AS prob FROM trans", "trans"))
+@query("transition_prob", with_("SELECT from_state, to_state, round(p / sum(p) OVER (PARTITION BY from_state) + 3e-9, 6) AS prob FROM trans", "trans"))
 def transition_prob(spark, sf):
-    return S.transition_prob(materialize(frequencies(spark, sf))).select("from_state", "to_state", F.round("prob", 6).alias("prob"))
+    return S.transition_prob(materialize(frequencies(spark, sf))).select("from_state", "to_state", F.round(F.col("prob") + 3e-9, 6).alias("prob"))
 
 
-@query("neighbor_prob", with_("""SELECT state, neighbor, round(p / sum(p) OVER (PARTITION BY state), 6) AS prob FROM (SELECT state, neighbor, sum(p) AS p FROM (
+@query("neighbor_prob", with_("""SELECT state, neighbor, round(p / sum(p) OVER (PARTITION BY state) + 3e-9, 6) AS prob FROM (SELECT state, neighbor, sum(p) AS p FROM (
   SELECT from_state AS state, to_state AS neighbor, p FROM trans UNION ALL SELECT to_state, from_state, p FROM trans WHERE from_state <> to_state) GROUP BY ALL)""", "trans"))
 def neighbor_prob(spark, sf):
-    return S.neighbor_prob(materialize(frequencies(spark, sf))).select("state", "neighbor", F.round("prob", 6).alias("prob"))
+    return S.neighbor_prob(materialize(frequencies(spark, sf))).select("state", "neighbor", F.round(F.col("prob") + 3e-9, 6).alias("prob"))
 
 
 @query("distinct_states", with_("SELECT from_state AS state FROM trans UNION SELECT to_state FROM trans", "trans"))

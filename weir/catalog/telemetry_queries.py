@@ -272,15 +272,15 @@ LOADED = f"""SELECT component, type, cycle, 3 AS n_tasks, ac, arr, pc, pt, CASE
     coalesce(sum(cnt) FILTER (WHERE metric = 'process'), 0) AS pc, coalesce(sum(total) FILTER (WHERE metric = 'process'), 0) AS pt,
     sum(cnt) FILTER (WHERE metric = 'send-queue-length') AS sc, sum(total) FILTER (WHERE metric = 'send-queue-length') AS st,
     sum(cnt) FILTER (WHERE metric = 'recv-queue-length') AS rc, sum(total) FILTER (WHERE metric = 'recv-queue-length') AS rt FROM ({{}}) GROUP BY ALL)"""
-LOAD_SQL = """SELECT component, type, cycle, CAST(n_tasks AS BIGINT) AS n_tasks, round(rate * 3, 4) AS lam, round(CASE WHEN avg_ms = 0 THEN 'Infinity'::DOUBLE ELSE 1000 / avg_ms END, 4) AS mu,
-  round(rate * avg_ms / 1000, 6) AS rho, round(CASE WHEN pc = 0 THEN 0 ELSE (arr - ac) / pc END, 4) AS input_ratio FROM ({})"""
+LOAD_SQL = """SELECT component, type, cycle, CAST(n_tasks AS BIGINT) AS n_tasks, round(rate * 3 + 3e-7, 4) AS lam, round(CASE WHEN avg_ms = 0 THEN 'Infinity'::DOUBLE ELSE 1000 / avg_ms END + 3e-7, 4) AS mu,
+  round(rate * avg_ms / 1000 + 3e-9, 6) AS rho, round(CASE WHEN pc = 0 THEN 0 ELSE (arr - ac) / pc END + 3e-7, 4) AS input_ratio FROM ({})"""
 
 
 @query("svc_load", with_(LOAD_SQL.format(LOADED.format(HISTORY)), "meas"))
 def svc_load(spark, sf):
     """Load over the last four cycles of each component."""
     load = C.service_load(history(spark, sf), tasks(spark, sf), 10.0, ("cycle",))
-    return load.select("component", "type", "cycle", "n_tasks", F.round("lam", 4).alias("lam"), F.round("mu", 4).alias("mu"), F.round("rho", 6).alias("rho"), F.round("input_ratio", 4).alias("input_ratio"))
+    return load.select("component", "type", "cycle", "n_tasks", *r4("lam", "mu", "input_ratio"), F.round(F.col("rho") + 3e-9, 6).alias("rho"))
 
 
 @query("svc_flags", with_(f"""SELECT component, type, cycle, send_len < 30 AS send_ok, recv_len < 0.006 * 512 AS recv_ok,
