@@ -97,6 +97,15 @@ def capacity_report(spark, sf):
     return rep.select("topology", r6("est_ms"), F.round("real_ms", 6).alias("real_ms"), F.round("ratio", 6).alias("ratio"), "est_ok", "real_ok", "plan_total", "min_plan_total", "extra", "action")
 
 
+@query("rebalance_plan", with_(f"""SELECT s.topology, s.cid, s.k, g.k AS suggested_k FROM svck s JOIN ({SUGGEST}) g ON g.topology = s.topology AND g.cid = s.cid
+  JOIN (SELECT topology FROM (SELECT topology, sum(k) AS need, bool_and(k IS NOT NULL) AS reachable FROM plan_r GROUP BY 1) JOIN totals USING (topology)
+    WHERE reachable AND need <= plan_total) r ON r.topology = s.topology""", "svck", "totals", "plan_r"))
+def rebalance_plan(spark, sf):
+    s = materialize(I.services(spark, sf))
+    rep = materialize(C.capacity_report(s, I.goals(s).select("topology", "qos_ms", "real_ms")))
+    return C.rebalance_plan(s, rep)
+
+
 # --- transitions ------------------------------------------------------------
 
 

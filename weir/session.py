@@ -17,13 +17,16 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Checkpoint files go when the frames that use them are gone.
+START_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
 
 def build_session(app: str = "weir", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session; cluster settings (master, memory, folders) stay with spark-submit."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
