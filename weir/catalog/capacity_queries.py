@@ -157,7 +157,7 @@ def overlaps(items):
     return N.plan_overlap(items, ranges(items), plan_pairs(I.plans(items)))
 
 
-@query("plan_ranges", with_("SELECT grp, plan_id, bucket, lo AS start_idx, hi AS end_idx, hi - lo + 1 AS size FROM ranges", "ranges"))
+@query("plan_ranges", with_("SELECT grp, plan_id, CAST(bucket AS INTEGER) AS bucket, lo AS start_idx, hi AS end_idx, hi - lo + 1 AS size FROM ranges", "ranges"))
 def plan_ranges(spark, sf):
     r = ranges(I.items(spark, sf))
     back = N.ranges_to_sizes(r)
@@ -199,7 +199,7 @@ def plan_imbalance(spark, sf):
     return N.plan_imbalance(items, ranges(items)).select("grp", "plan_id", F.round(F.col("imbalance") + 3e-7, 3).alias("imbalance"))
 
 
-@query("plan_overlap", with_("SELECT grp, plan_a, plan_b, bucket_a, bucket_b, round(overlap, 2) AS overlap FROM overlap", "overlap"))
+@query("plan_overlap", with_("SELECT grp, plan_a, plan_b, CAST(bucket_a AS INTEGER) AS bucket_a, CAST(bucket_b AS INTEGER) AS bucket_b, round(overlap, 2) AS overlap FROM overlap", "overlap"))
 def plan_overlap(spark, sf):
     return overlaps(I.written_items(spark, sf)).withColumn("overlap", F.round("overlap", 2))
 

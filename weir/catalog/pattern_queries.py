@@ -145,7 +145,7 @@ def outlier_merge(spark, sf):
     return O.outlier_merge(flags, PROJECTIONS, ["time", "id"]).select("id", "is_outlier")
 
 
-@query("outlier_per_arrival", with_("""SELECT seq, id, CAST(projection_id AS INTEGER) AS projection_id, obj_id, neighbors, neighbors < 5 AS is_outlier FROM (
+@query("outlier_per_arrival", with_("""SELECT seq, id, CAST(projection_id AS INTEGER) AS projection_id, CAST(obj_id AS INTEGER) AS obj_id, neighbors, neighbors < 5 AS is_outlier FROM (
   SELECT s.seq, s.id, s.projection_id, a.obj_id, count(*) FILTER (WHERE a.obj_id <> b.obj_id AND abs(a.v - b.v) <= 0.05) AS neighbors
   FROM obs s JOIN st a ON s.seq = a.seq AND s.projection_id = a.projection_id JOIN st b ON s.seq = b.seq AND s.projection_id = b.projection_id
   WHERE s.seq >= 40 GROUP BY ALL)""", "proj").replace("\nSELECT seq, id, CAST(projection_id", """,
