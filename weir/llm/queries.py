@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import bpe, pii, quality, toxicity
+from . import bpe, pii, quality, simhash, toxicity
 from .common import fold_of, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return simhash.near_duplicates(docs).select("doc_id", hexed, "component_id")
+
+
 @query("op10_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on rows outside the fold of remainder 2, score every text. Statistics are computed once."""
