@@ -169,10 +169,12 @@ def top_k(
     def away(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if vectors.empty or asked.empty:
             return pd.DataFrame(columns=["query_id", "vec_id", "score"]).astype("int64")
-        return _searched(Tree(vectors["vec_id"].to_numpy(), _matrix(vectors["x"])), asked, k)
+        tree = Tree(vectors["vec_id"].to_numpy(), _matrix(vectors["x"]))
+        return _searched(tree, asked.rename(columns={"q_id": "vec_id", "q": "x"}), k)
 
     key = ["shard", "block", "dim"]
-    far = members.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(away, SCHEMA)
+    sent = sent.select(*[F.col(c).alias(f"to_{c}") for c in key], F.col("vec_id").alias("q_id"), F.col("x").alias("q"), "kth")
+    far = members.groupBy(*key).cogroup(sent.groupBy(*[f"to_{c}" for c in key])).applyInPandas(away, SCHEMA)
     return ranked(near.union(far), k)
 
 
