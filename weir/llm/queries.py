@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import bpe, kdtree, mixing, pii, quality, simhash, toxicity
+from . import bpe, imatch, kdtree, mixing, pii, quality, simhash, toxicity
 from .common import fold_of, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def toxicity_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = 50
     return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
+@query("op4_imatch")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited(table(spark, sf_dir, "documents"))
+
+
 @query("op5_pii")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
