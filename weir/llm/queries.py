@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import bpe, imatch, kdtree, mixing, pii, quality, simhash, toxicity
+from . import bpe, imatch, kdtree, lines, mixing, pii, quality, simhash, toxicity
 from .common import fold_of, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query("op6_lines")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text after line dedup and the numbers of the deleted lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.deduplicate(docs, gone="deleted_lines").select("doc_id", "text", "deleted_lines", F.size("deleted_lines").cast("long").alias("n_deleted"))
+
+
 TOP_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
