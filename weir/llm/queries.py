@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import bpe, imatch, kdtree, lines, mixing, pii, quality, simhash, toxicity
+from . import bpe, imatch, kdtree, lines, mixing, passages, pii, quality, simhash, toxicity
 from .common import fold_of, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op8_passages")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 50 words or more: spans of words that occur earlier in the corpus."""
+    spans = passages.repeated(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", F.col("start").alias("word_start"), F.col("end").alias("word_end"), (F.col("end") - F.col("start")).alias("n_words"), "first_doc_id")
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
