@@ -66,7 +66,7 @@ def slots(found: DataFrame, seed: int = SEED, count: int = SLOTS) -> DataFrame:
     depth = F.bit_count(rest.bitwiseAND(-rest) - 1)
     dealt = found.select(*KEY, "term", F.pmod(r, F.lit(count)).cast("int").alias("slot"), depth.alias("depth"))
     subsets = dealt.groupBy(*KEY, "slot", "depth").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    hashed = subsets.select(*KEY, "slot", "depth", F.xxhash64("terms", F.lit(seed)).alias("hash"))
+    hashed = subsets.select(*KEY, "slot", "depth", F.hash("terms", F.lit(seed)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"))
     deepest = hashed.groupBy(*KEY, "slot").agg(F.max_by("hash", "depth").alias("hash"))
     return deepest.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("slot", "hash"))).alias("slots"))
 
@@ -121,25 +121,26 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
         first = F.struct(F.lit(top["kid"]).alias("kid"), F.lit(top["kth"]).alias("kth"))
     linked = range_scan(ids, [], order, [Lag("next", "me")]).withColumn("next", F.coalesce("next", first))
     third = F.floor(F.col("n_chars") / 3).cast("long")
-    asked = linked.select(F.col("next.kid").alias("kid"), F.col("next.kth").alias("kth"), F.col("kid").alias("for_id"), F.col("kth").alias("for_th"), third.alias("take"))
-
-    # Texts are shuffled once by key; the terms, the heads and the documents all start from there.
-    own = rows.select("doc_id", "text", "n_chars", *KEY).repartition(*[F.col(k) for k in KEY])
-    filled = materialize(slots(exploded(own, "text").join(words, "term", "left_semi")))
-    heads = own.join(asked, KEY).select("for_id", "for_th", F.left("text", F.col("take").cast("int")).alias("head"), *KEY)
-    # A repeated row has the same head each time.
-    heads = heads.groupBy(F.col("for_id").alias("kid"), F.col("for_th").alias("kth")).agg(F.max("head").alias("head"), F.max(F.struct(*KEY)).alias("next"))
-    kept = F.left("text", (F.col("n_chars") - third).cast("int"))
-    both = own.join(heads, KEY).select("doc_id", *KEY, "n_chars", "next", "text", F.concat(kept, "head").alias("edited"))
+    asked = materialize(linked.select(F.col("next.kid").alias("kid"), F.col("next.kth").alias("kth"), F.col("kid").alias("for_id"), F.col("kth").alias("for_th"), third.alias("take")))
+
+    # Texts are shuffled once by key. Whatever reads them takes the same columns, so
+    # that the terms, the heads and the edited texts share that one exchange.
+    own = rows.select(*KEY, "text").repartition(*[F.col(k) for k in KEY])
+    filled = slots(exploded(own, "text").join(words, "term", "left_semi"))
+    n = F.length("text")
+    described = own.groupBy(*KEY).agg(F.max("text").alias("text")).join(filled, KEY, "left")
+    heads = described.join(asked, KEY).select(F.col("for_id").alias("kid"), F.col("for_th").alias("kth"), F.concat_ws("\n", printed(F.col("slots"), F.col("text")), F.left("text", F.col("take").cast("int"))).alias("sent"))
+    # Fingerprint and head travel as one column: both readers of the exchange need all of it.
+    heads = heads.repartition(*[F.col(k) for k in KEY])
+    head = F.expr("substring(sent, instr(sent, '\n') + 1)")
+    both = described.join(heads, KEY).withColumn("edited", F.concat(F.left("text", n - F.floor(n / 3).cast("int")), head))
     changed = slots(exploded(both, F.col("edited")).join(words, "term", "left_semi")).withColumnRenamed("slots", "edited_slots")
-    prints = both.join(filled, KEY, "left").join(changed, KEY, "left").select(
-        "doc_id", *KEY, "n_chars", "next", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+    prints = both.join(changed, KEY, "left").select(
+        *KEY, n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.substring_index("sent", "\n", 1).alias("next_fingerprint"),
         printed(F.col("slots"), F.col("text")).alias("fingerprint"), printed(F.col("edited_slots"), F.col("edited")).alias("edited_fingerprint"),
     )
-    prints = materialize(prints)
-    following = prints.select(F.col("kid").alias("n_id"), F.col("kth").alias("n_th"), F.col("fingerprint").alias("next_fingerprint")).distinct()
-    out = prints.join(following, (F.col("next.kid") == F.col("n_id")) & (F.col("next.kth") == F.col("n_th")))
-    return out.select(
+    # Back to rows: a row that repeats an id and a text has the same result.
+    return rows.select("doc_id", *KEY).join(prints, KEY).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
