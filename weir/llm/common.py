@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import run_dir
+
 # A word of a text: a run of characters other than ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 # Rows of one Arrow batch: texts are long, so few rows already fill a batch.
@@ -34,6 +36,17 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a result to a Parquet folder below spark.checkpoint.dir and read it from there.
+
+    Columnar and compressed, so for wide or long intermediate tables it takes a
+    fraction of the disk of a checkpoint. The files outlive lost executors.
+    """
+    folder = run_dir(df.sparkSession, "stored")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fold_of(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts

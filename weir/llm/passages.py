@@ -10,7 +10,7 @@ the one with the smallest hash (the first one if hashes tie). Content alone
 selects them, so equal windows hold the same minimiser at the same place. Suffixes
 whose first gram occurs once leave. The others are extended left and right to
 every window of ``length`` words that they are the minimiser of, windows are brought
-together by their content (128 bits of hash), and in each group the earliest
+together by their content (96 bits of hash), and in each group the earliest
 stays. Windows, not pairs, are shuffled, so a passage in a third of all documents
 costs a row per window and no more.
 
@@ -31,57 +31,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-from .common import WORD
+from ..scale import dense_index
+from .common import WORD, stored
 
 LENGTH = 50
 GRAM = 25
 SEED = 11
 _WORD = re.compile(WORD)
 DOC = ["no_id", "id", "th"]
+# A place is doc << WORD_BITS | word: up to 2^26 words in a text, 2^37 documents.
+WORD_BITS = 26
 
 
-def _words(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The words joined by blanks, with the byte each word starts and ends at."""
-    words = text.encode("utf-8", "replace").split()
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    return b" ".join(words), ends - sizes, ends
+class Hashes:
+    """Hashes of every stretch of a byte string from running sums: sum of t[byte] * base^i, shifted back to 0."""
 
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.table = rng.integers(0, 2**64, 256, "u8")
+        self.base = int(rng.integers(0, 2**62)) * 8 + 5
+        self.power = self.inverse = np.ones(1, "u8")
 
-def minimisers(text: str | None, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the minimisers, hashes of their grams, and for each window its minimiser's number."""
-    import xxhash
+    def _reach(self, n: int) -> None:
+        if len(self.power) < n:
+            size = max(n, 1 << 16)
+            with np.errstate(over="ignore"):
+                self.power, self.inverse = (np.multiply.accumulate(np.r_[np.ones(1, "u8"), np.full(size - 1, x, "u8")]) for x in (self.base, pow(self.base, -1, 2**64)))
 
-    none = np.zeros(0, np.int64)
-    if not text:
-        return none, none, none
-    joined, starts, ends = _words(text)
-    if len(starts) < length:
-        return none, none, none
-    h64 = xxhash.xxh64_intdigest
-    view = memoryview(joined)
-    grams = np.array([h64(view[s:e], SEED) for s, e in zip(starts[: len(starts) - gram + 1].tolist(), ends[gram - 1 :].tolist())], "u8")
+    def sums(self, raw: np.ndarray) -> np.ndarray:
+        self._reach(len(raw) + 1)
+        out = np.zeros(len(raw) + 1, "u8")
+        np.cumsum(self.table[raw] * self.power[: len(raw)], out=out[1:])
+        return out
+
+    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (sums[end] - sums[start]) * self.inverse[start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+
+_FIRST, _SECOND = Hashes(SEED), Hashes(SEED + 1)
+
+
+def _words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words joined by blanks, as bytes and array, with the byte each word starts and ends at."""
+    joined = b" ".join((text or "").encode("utf-8", "replace").split())
+    raw = np.frombuffer(joined, np.uint8)
+    if not joined:
+        return joined, raw, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.append(np.flatnonzero(raw == 32), len(raw))
+    return joined, raw, np.append(0, ends[:-1] + 1), ends
+
+
+def _selected(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hashes by word, and for every window the word its minimiser starts at."""
+    sums = _FIRST.sums(raw)
+    grams = _FIRST.of(sums, starts[: len(starts) - gram + 1], ends[gram - 1 :])
     width = length - gram + 1
     at = np.empty(len(grams) - width + 1, np.int64)
     for s in range(0, len(at), 65536):
         block = np.lib.stride_tricks.sliding_window_view(grams[s : s + 65536 + width - 1], width)
         at[s : s + 65536] = block.argmin(1) + np.arange(s, s + len(block))
-    places, number = np.unique(at, return_inverse=True)
-    return places, grams[places].view("i8"), number
+    return sums, grams, at
 
 
-def windows(text: str, wanted: set[int], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int]]:
-    """(start, hash, hash) of the windows whose minimiser lies at one of the wanted positions."""
+def minimisers(text: str | None, length: int = LENGTH, gram: int = GRAM) -> tuple[int, bytes, np.ndarray, np.ndarray]:
+    """Number of words, digest of the words, positions of the minimisers and hashes of their grams."""
     import xxhash
 
-    places, _, number = minimisers(text, length, gram)
-    joined, starts, ends = _words(text)
-    view, full = memoryview(joined), xxhash.xxh3_128_digest
-    use = np.isin(places, np.fromiter(wanted, np.int64, len(wanted)))[number]
-    for s in np.flatnonzero(use).tolist():
-        a, b = np.frombuffer(full(view[starts[s] : ends[s + length - 1]], SEED), "<i8")
-        yield s, int(a), int(b)
+    joined, raw, starts, ends = _words(text)
+    digest = xxhash.xxh3_128_digest(joined, SEED)
+    if len(starts) < length:
+        return len(starts), digest, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, grams, at = _selected(raw, starts, ends, length, gram)
+    places = at[np.r_[True, at[1:] != at[:-1]]]  # a minimiser's windows are neighbours
+    return len(starts), digest, places, grams[places].view("i8")
+
+
+def windows(text: str, wanted: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and two hashes of the windows whose minimiser lies at one of the wanted positions."""
+    _, raw, starts, ends = _words(text)
+    sums, _, at = _selected(raw, starts, ends, length, gram)
+    use = np.flatnonzero(np.isin(at, wanted))
+    a = _FIRST.of(sums, starts[use], ends[use + length - 1])
+    b = _SECOND.of(_SECOND.sums(raw), starts[use], ends[use + length - 1])
+    return use, a.view("i8"), (b >> np.uint64(32)).astype("u4").view("i4")
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -89,6 +124,9 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(t).alias("th"), F.col(text).alias("text"))
 
 
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("spot", T.LongType())]))
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_key, start, end, first_doc_id): maximal repeated spans in words, end exclusive.
 
@@ -96,59 +134,56 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length
     """
     rows = _keyed(docs, id_col, text)
 
-    @F.pandas_udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("at", T.ArrayType(T.LongType())), T.StructField("gram", T.ArrayType(T.LongType()))]))
+    @F.pandas_udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("gram", T.ArrayType(T.LongType()))]))
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        import xxhash
+        return pd.DataFrame([minimisers(t, length, gram) for t in texts], columns=["words", "key", "at", "gram"])
 
-        out = []
-        for t in texts:
-            joined, starts, _ = _words(t or "")
-            at, grams, _ = minimisers(t, length, gram)
-            out.append((len(starts), xxhash.xxh3_128_digest(joined, SEED), at, grams))
-        return pd.DataFrame(out, columns=["words", "key", "at", "gram"])
-
-    place = F.struct(*DOC)
-    sketched = materialize(rows.select(*DOC, sketch("text").alias("s")).select(*DOC, "s.words", "s.key", "s.at", "s.gram").where(F.col("words") >= length))
-    firsts = materialize(sketched.groupBy("key").agg(F.min(place).alias("first")))
+    sketched = stored(rows.select(*DOC, sketch("text").alias("s")).select(*DOC, "s.*").where(F.col("words") >= length))
+    # Documents by number, in corpus order; a place is a number and a word in one long.
+    docs_of = stored(dense_index(sketched.select(*DOC, "words", "key").distinct(), DOC, "doc"))
+    firsts = docs_of.groupBy("key").agg(F.min("doc").alias("first"))
+    judged = stored(docs_of.join(firsts, "key").drop("key"))
     # Later copies of a whole text, and the documents that take part.
-    joined = sketched.select(*DOC, "words", "key").distinct().join(firsts, "key")
-    copies = joined.where(place > F.col("first")).select(*DOC, F.lit(0).cast("long").alias("start"), F.col("words").alias("end"), F.col("first"))
-    part = sketched.join(firsts.select("first.*"), DOC, "left_semi").dropDuplicates(DOC)
-    suffixes = part.select(*DOC, F.explode(F.arrays_zip("at", "gram")).alias("m")).select(*DOC, "m.at", "m.gram")
-    often = suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    wanted = suffixes.join(often, "gram", "left_semi").groupBy(*DOC).agg(F.collect_list("at").alias("wanted"))
+    copies = judged.where("doc > first").select("doc", F.lit(0).cast("long").alias("start"), F.col("words").alias("end"), "first")
+    part = judged.where("doc = first").select(*DOC, "doc")
+    # A text that occurs as a copy too counts once: its grams are those of one document.
+    own = sketched.join(part, DOC).dropDuplicates(["doc"]).select("doc", F.explode(F.arrays_zip("at", "gram")).alias("m")).select("doc", "m.at", "m.gram")
+    often = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    wanted = own.join(often, "gram", "left_semi").groupBy("doc").agg(F.collect_list("at").alias("wanted")).join(part, "doc")
 
     def extend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for no_id, i, th, t, at in zip(part["no_id"], part["id"], part["th"], part["text"], part["wanted"]):
-                found = list(windows(t, set(at), length, gram))
-                for s in range(0, len(found), 50_000):
-                    w = np.array(found[s : s + 50_000], np.int64).reshape(-1, 3)
-                    yield pd.DataFrame({"no_id": no_id, "id": i, "th": th, "start": w[:, 0], "a": w[:, 1], "b": w[:, 2]})
-
-    texts = rows.join(wanted, DOC).dropDuplicates(DOC)
-    found = materialize(texts.select(*DOC, "text", "wanted").mapInPandas(extend, "no_id boolean, id long, th long, start long, a long, b long"))
-    spot = F.struct(*DOC, "start")
-    first = found.groupBy("a", "b").agg(F.min(spot).alias("spot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "spot")
-    later = found.join(first, ["a", "b"]).where(spot > F.col("spot")).select(*DOC, F.struct("start", F.struct(F.col("spot.no_id").alias("no_id"), F.col("spot.id").alias("id")).alias("from")).alias("w"))
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("w", T.LongType())])))
-    def merged(starts: pd.Series) -> pd.Series:
+            for doc, t, at in zip(part["doc"], part["text"], part["wanted"]):
+                start, a, b = windows(t, np.asarray(at), length, gram)
+                for s in range(0, len(start), 65536):
+                    yield pd.DataFrame({"place": (int(doc) << WORD_BITS) + start[s : s + 65536], "a": a[s : s + 65536], "b": b[s : s + 65536]})
+
+    texts = rows.join(wanted, DOC).dropDuplicates(["doc"])
+    found = stored(texts.select("doc", "text", "wanted").mapInPandas(extend, "place long, a long, b int"))
+    first = found.groupBy("a", "b").agg(F.min("place").alias("spot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "spot")
+    later = found.join(first, ["a", "b"]).where("place > spot")
+
+    @F.pandas_udf(SPAN)
+    def merged(starts: pd.Series, spots: pd.Series) -> pd.Series:
         out = []
-        for own in starts:
-            x = np.sort(np.asarray(own, np.int64))
+        for own, spot in zip(starts, spots):
+            x, spot = np.asarray(own, np.int64), np.asarray(spot, np.int64)
+            order = np.argsort(x)
+            x, spot = x[order], spot[order]
             cut = np.flatnonzero(np.diff(x) > length) + 1
-            # Windows that overlap or touch form one span; w is the number of its first window.
-            first, last = np.r_[0, cut], np.r_[cut, len(x)] - 1
-            out.append([{"start": int(x[f]), "end": int(x[e]) + length, "w": int(f)} for f, e in zip(first, last)])
+            # Windows that overlap or touch form one span, which goes by its first window.
+            head, tail = np.r_[0, cut], np.r_[cut, len(x)] - 1
+            out.append([{"start": int(x[h]), "end": int(x[e]) + length, "spot": int(spot[h])} for h, e in zip(head, tail)])
         return pd.Series(out, dtype=object)
 
-    by_doc = later.groupBy(*DOC).agg(F.sort_array(F.collect_list("w")).alias("w"))
-    spans = by_doc.select(*DOC, "w", F.explode(merged(F.transform("w", lambda w: w["start"]))).alias("s"))
-    spans = spans.select(*DOC, F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.get("w", F.col("s.w").cast("int"))["from"].alias("first"))
-    ids = lambda c: F.when(~F.col(f"{c}no_id"), F.col(f"{c}id"))
-    every = spans.unionByName(copies.withColumn("first", F.struct("first.no_id", "first.id")))
-    return every.select(ids("").alias("doc_id"), F.col("th").alias("text_key"), "start", "end", ids("first.").alias("first_doc_id"))
+    low = (1 << WORD_BITS) - 1
+    by_doc = later.groupBy(F.shiftright("place", WORD_BITS).alias("doc")).agg(F.collect_list(F.struct(F.col("place").bitwiseAND(low).alias("s"), "spot")).alias("w"))
+    spans = by_doc.select("doc", F.explode(merged(F.transform("w", lambda w: w["s"]), F.transform("w", lambda w: w["spot"]))).alias("s"))
+    spans = spans.select("doc", "s.start", "s.end", F.shiftright("s.spot", WORD_BITS).alias("first"))
+    ids = F.when(~F.col("no_id"), F.col("id"))
+    names = judged.select("doc", ids.alias("doc_id"), F.col("th").alias("text_key"))
+    origin = judged.select(F.col("doc").alias("first"), ids.alias("first_doc_id"))
+    return spans.unionByName(copies).join(names, "doc").join(origin, "first").select("doc_id", "text_key", "start", "end", "first_doc_id")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
