@@ -21,6 +21,8 @@ def small_batches(spark: SparkSession) -> SparkSession:
     """Keep the Arrow batches of Python workers small, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # Split hot keys of joins even where the next step then needs a shuffle of its own.
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
