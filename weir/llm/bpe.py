@@ -34,7 +34,7 @@ WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^" + SPACE + "\\p{L}\\p{N}]
 END = "</w>"
 
 # Bounds of the per-worker caches: entries of a generation, and characters of one entry.
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 60_000
 CACHE_CHARS = 48
 # Last symbols of words live in a plane of their own, so each symbol is one character.
 LAST = 0x10000
