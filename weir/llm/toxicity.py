@@ -147,17 +147,20 @@ def _train(rows, names: list[str], prior: float, swap_weight: float, ridge: floa
     at = np.repeat(np.arange(len(rows)), [len(r["own"]) for r in rows])
     to = np.array([i for r in rows for i in r["own"]], int)
     turned = [(i, r["other"]) for i, r in enumerate(rows) if r["other"] is not None]
-    t_own = [(k, f) for k, (i, _) in enumerate(turned) for f in rows[i]["own"]]
-    t_new = [(k, f) for k, (_, fs) in enumerate(turned) for f in fs]
-    d_at = np.array([k for k, _ in t_own + t_new], int)
-    d_to = np.array([f for _, f in t_own + t_new], int)
-    d_sign = np.array([1.0] * len(t_own) + [-1.0] * len(t_new))
+    # What a swap changes: features that go (+1) and that come (-1).
+    changes = [(k, f, sign) for k, (i, fs) in enumerate(turned) for own in (set(rows[i]["own"]),) for new in (set(fs),) for part, sign in ((own - new, 1.0), (new - own, -1.0)) for f in sorted(part)]
+    d_at = np.array([c[0] for c in changes], int)
+    d_to = np.array([c[1] for c in changes], int)
+    d_sign = np.array([c[2] for c in changes])
+    d_size = np.bincount(d_at, minlength=len(turned))
     size = np.maximum(np.bincount(to, minlength=len(names)), 1)
     # A step per feature in proportion to how often it occurs; both labels weigh the same.
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     w, bias, v, vb = np.zeros(len(names)), 0.0, np.zeros(len(names)), 0.0
     per_doc = max(1.0, len(to) / max(len(y), 1))
-    rate = 2.0 / (per_doc * np.sqrt(size * size.max()) * 0.5 + ridge + swap_weight * (np.bincount(d_to, minlength=len(names)) * 4 + 1e-9))
+    # Bounds of the curvature along each feature: of the loss, the ridge and the swaps.
+    pull = np.bincount(d_to, d_size[d_at], len(names)) if len(d_at) else 0.0
+    rate = 1.0 / (0.25 * per_doc * np.sqrt(size * size.max()) + 0.5 * ridge + 2 * swap_weight * pull)
     for _ in range(steps):
         z = bias + np.bincount(at, w[to], len(y))
         err = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
