@@ -9,7 +9,7 @@ from . import inputs as I
 from .registry import query
 from .sql import PICK, with_
 
-THRESHOLD = "(SELECT greatest(1, count(*) // 1200) FROM lineitem)"
+THRESHOLD = "50"
 
 
 def _text(df, *cols):
@@ -82,7 +82,7 @@ def pattern_frequent(spark, sf):
 
 @query("pattern_frequent_by_level", with_("SELECT array_to_string(pattern, ',') AS pattern, cnt FROM freq", "freq"))
 def pattern_frequent_by_level(spark, sf):
-    return _text(P.frequent_patterns_by_level(P.net_baskets(I.basket_ids(spark, sf)), I.pattern_threshold(spark, sf)), "cnt")
+    return _text(P.frequent_patterns(P.net_baskets(I.basket_ids(spark, sf)), I.pattern_threshold(spark, sf)), "cnt")
 
 
 @query("pattern_maximal", with_("SELECT array_to_string(pattern, ',') AS pattern, cnt FROM maxi", "maxi"))

@@ -56,13 +56,13 @@ PICK = "list_transform(list_filter(range(0, len(ids)), lambda i: (m >> i) & 1 =
 cte("pc", f"""SELECT pattern, CAST(sum(n) AS BIGINT) AS cnt FROM (
   SELECT n, {PICK} AS pattern FROM (SELECT ids, n, unnest(generate_series(1, (1 << len(ids)) - 1)) AS m FROM net))
   GROUP BY pattern""", "net")
-cte("freq", "SELECT pattern, cnt FROM pc WHERE cnt >= (SELECT greatest(1, count(*) // 1200) FROM lineitem)", "pc")
+cte("freq", "SELECT pattern, cnt FROM pc WHERE cnt >= 50", "pc")
 DROP_ONE = "SELECT DISTINCT list_filter(pattern, lambda x: x <> d) AS pattern FROM (SELECT pattern, unnest(pattern) AS d FROM {0})"
 cte("maxi", f"SELECT * FROM freq ANTI JOIN ({DROP_ONE.format('freq')}) USING (pattern)", "freq")
 cte("pc_add", f"""SELECT pattern, count(*) AS cnt FROM (
   SELECT {PICK} AS pattern FROM (SELECT ids, unnest(generate_series(1, (1 << len(ids)) - 1)) AS m FROM adds))
   GROUP BY pattern""", "adds")
-cte("freq_add", "SELECT pattern, cnt FROM pc_add WHERE cnt >= (SELECT greatest(1, count(*) // 1200) FROM lineitem)", "pc_add")
+cte("freq_add", "SELECT pattern, cnt FROM pc_add WHERE cnt >= 50", "pc_add")
 cte("maxi_add", f"SELECT * FROM freq_add ANTI JOIN ({DROP_ONE.format('freq_add')}) USING (pattern)", "freq_add")
 
 cte("objects", "SELECT vec_id AS seq, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings")

@@ -34,10 +34,11 @@ def pattern_changelog_stream(spark, sf):
     queue, folder = run_dir(spark, "baskets"), run_dir(spark, "changelog")
     t = I.pattern_threshold(spark, sf)
     basket_queue(spark, sf, queue, True)
-    SP.maximal_changelog(parquet_stream(spark, queue, "*.parquet"), t, folder)
+    first = SP.maximal_changelog(parquet_stream(spark, queue, "*.parquet"), t, folder).agg(F.max("batch_id")).first()[0]
+    done = -1 if first is None else first
     basket_queue(spark, sf, queue, False)
     log = SP.maximal_changelog(parquet_stream(spark, queue, "*.parquet"), t, folder)
-    return log.where("batch_id > 0").select(joined("pattern").alias("pattern"), "is_maximal", "cnt")
+    return log.where(F.col("batch_id") > done).select(joined("pattern").alias("pattern"), "is_maximal", "cnt")
 
 
 def object_stream(spark, sf):

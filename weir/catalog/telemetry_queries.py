@@ -125,12 +125,11 @@ def completed_agg(spark, sf):
     return M.completed_aggregate(paired(spark, sf)).select("cnt", "total", F.round("total_2", -8).alias("total_2"))
 
 
-@query("trace_collect", with_(f"""SELECT arrival // 60000 * 60000 AS window_start, component, trace, CAST(0 AS BIGINT) AS part,
-  string_agg('src:default,' || arrival || ',' || departure, ';' ORDER BY 'src:default,' || arrival || ',' || departure) AS records FROM exe GROUP BY ALL""", "exe"))
+@query("trace_collect", with_(f"""SELECT arrival // 60000 * 60000 AS window_start, component, trace, row_number() OVER (
+  PARTITION BY arrival // 60000, component, trace ORDER BY 'src:default,' || arrival || ',' || departure) AS pos, 'src:default,' || arrival || ',' || departure AS record FROM exe""", "exe"))
 def trace_collect(spark, sf):
     record = F.concat_ws(",", F.lit("src:default"), "arrival", "departure")
-    lists = M.collect_traces(I.executions(spark, sf), 60_000, record, "seq", "arrival")
-    return lists.select("window_start", "component", "trace", "part", F.array_join("records", ";").alias("records"))
+    return M.collect_traces(I.executions(spark, sf), 60_000, record, "seq", "arrival")
 
 
 @query("traced_stats", with_("""SELECT component, count(*) AS cnt, sum(duration) AS total, round(avg(duration) + 3e-7, 4) AS avg,

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_ITEMS = 20
-
 
 def inner_product(a: Column, b: Column) -> Column:
     """Dot product; different lengths are an error."""
@@ -23,21 +21,15 @@ def inner_products(vector: Column, rows: Sequence[Sequence[float]]) -> Column:
     return F.array(*[inner_product(vector, F.array(*[F.lit(float(x)) for x in r])) for r in rows])
 
 
-def subsets(items: str, proper: bool = False, max_items: int = MAX_ITEMS) -> Column:
-    """All non-empty subsets of an array column, in bit-mask order.
+def subsets(items: str) -> Column:
+    """All subsets of an array column, the empty one first, in bit-mask order.
 
-    2^n arrays leave one row, so wide arrays fail loudly; use the level-wise
-    miner for those.
+    2^n arrays leave one row: for short arrays. ``expand_subsets`` cuts long ones.
     """
     # Doubling: the subsets without x, then the same ones with x appended.
-    power = (
+    return F.expr(
         f"aggregate({items}, array(slice({items}, 1, 0)), (acc, x) -> concat(acc, transform(acc, s -> array_append(s, x))))"
     )
-    # The first subset is empty, the last one is the whole array.
-    made = f"slice({power}, 2, shiftleft(1, size({items})) - {2 if proper else 1})"
-    return F.when(F.expr(f"size({items}) <= {max_items}"), F.expr(made)).otherwise(
-        F.raise_error(F.concat(F.lit("too many items for subset expansion: "), F.size(items).cast("string")))
-    )
 
 
 def drop_one_subsets(items: str) -> Column:

@@ -11,6 +11,9 @@ from ..functions import arrays as A
 from ..scale import RunningSum, broadcast_if_small, dense_index, dense_int_index, ordered_scan, parallelism
 from ..session import materialize
 
+# Items of a basket whose subsets are expanded at a time.
+CHUNK = 10
+
 
 def dictionary_from_lines(lines: DataFrame, seq: str = "seq", word: str = "word") -> DataFrame:
     """word -> 0-based line number; a repeated word keeps its last line."""
@@ -39,9 +42,21 @@ def basket_ids(baskets: DataFrame, dictionary: DataFrame, keep: Sequence[str] =
     return known.groupBy(*keep).agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def expand_subsets(df: DataFrame, items: str = "ids", keep: Sequence[str] = (), proper: bool = False, max_items: int = A.MAX_ITEMS) -> DataFrame:
-    """One row (keep..., pattern) per non-empty subset."""
-    return df.select(*keep, F.explode(A.subsets(items, proper, max_items)).alias("pattern"))
+def expand_subsets(df: DataFrame, items: str = "ids", keep: Sequence[str] = (), proper: bool = False) -> DataFrame:
+    """One row (keep..., pattern) per non-empty subset, in bit-mask order up to ``CHUNK`` items.
+
+    Items are taken ``CHUNK`` at a time: a row never holds more than 2^CHUNK
+    arrays, however wide its basket is. The widest basket is measured first.
+    """
+    widest = df.agg(F.max(F.size(items))).first()[0] or 0
+    rows = df.select(*keep, F.col(items).alias("__items"), F.slice(items, 1, 0).alias("pattern"))
+    for first in range(1, max(widest, 1) + 1, CHUNK):
+        rows = rows.withColumn("__part", F.slice("__items", first, CHUNK)).withColumn("__pick", F.explode(A.subsets("__part")))
+        rows = rows.withColumn("pattern", F.concat("pattern", "__pick"))
+    kept = F.size("pattern") > 0
+    if proper:
+        kept = kept & (F.size("pattern") < F.size("__items"))
+    return rows.where(kept).select(*keep, "pattern")
 
 
 def net_baskets(baskets: DataFrame) -> DataFrame:
@@ -50,23 +65,23 @@ def net_baskets(baskets: DataFrame) -> DataFrame:
     return baskets.groupBy("ids").agg(F.sum(sign).alias("n")).where("n <> 0")
 
 
-def pattern_counts(net: DataFrame, max_items: int = A.MAX_ITEMS) -> DataFrame:
+def pattern_counts(net: DataFrame) -> DataFrame:
     """(pattern, cnt) for every pattern with a positive count."""
     # Folded baskets are few bytes but many subsets. A partition count of our own
     # keeps small partitions from being merged into one task; the second key
     # keeps the planner from merging this shuffle into the one below.
     wide = net.repartition(parallelism(net.sparkSession), "ids", "n")
-    rows = expand_subsets(wide, "ids", ["n"], max_items=max_items)
+    rows = expand_subsets(wide, "ids", ["n"])
     return rows.groupBy("pattern").agg(F.sum("n").alias("cnt")).where("cnt > 0")
 
 
-def clamped_pattern_counts(baskets: DataFrame, seq: str = "seq", max_items: int = A.MAX_ITEMS) -> DataFrame:
+def clamped_pattern_counts(baskets: DataFrame, seq: str = "seq") -> DataFrame:
     """Counts in arrival order where a removal before its addition is forgotten.
 
     With running sum S, the clamped count is S minus the lowest value S ever
     had below 0. ``seq`` is a unique integer.
     """
-    rows = expand_subsets(materialize(baskets), "ids", [seq, "is_add"], max_items=max_items)
+    rows = expand_subsets(materialize(baskets), "ids", [seq, "is_add"])
     signed = rows.withColumn("step", F.when(F.col("is_add"), 1).otherwise(-1))
     scanned = ordered_scan(signed, ["pattern"], [seq], [RunningSum("s", "step")])
     last = scanned.groupBy("pattern").agg(F.sum("step").alias("total"), F.min("s").alias("low"))
@@ -89,17 +104,8 @@ def prune_infrequent_items(net: DataFrame, threshold: int) -> DataFrame:
     return rebuilt.groupBy(F.col("kept").alias("ids")).agg(F.sum("n").alias("n"))
 
 
-def frequent_patterns(net: DataFrame, threshold: int, max_items: int = A.MAX_ITEMS) -> DataFrame:
-    """Patterns with count >= threshold by subset expansion of the pruned baskets.
-
-    The folded baskets are read twice (item counts, expansion) and written once.
-    """
-    pruned = prune_infrequent_items(materialize(net), threshold)
-    return pattern_counts(pruned, max_items).where(F.col("cnt") >= threshold)
-
-
-def frequent_patterns_by_level(net: DataFrame, threshold: int) -> DataFrame:
-    """As ``frequent_patterns`` for wide baskets, without 2^n rows per basket.
+def frequent_patterns(net: DataFrame, threshold: int) -> DataFrame:
+    """Patterns with count >= threshold, for baskets of any width.
 
     Level k extends the frequent patterns of size k - 1 inside each basket by
     one larger frequent item, so rows grow with frequent patterns only.
@@ -116,7 +122,7 @@ def frequent_patterns_by_level(net: DataFrame, threshold: int) -> DataFrame:
         larger = F.filter("ids", lambda x: x > F.element_at("pattern", -1))
         step = held.withColumn("item", F.explode(larger)).select("ids", "n", F.array_append("pattern", F.col("item")).alias("pattern"))
         step = materialize(step)
-    if found is None:
+    if found is None:  # no frequent item
         return step.groupBy("pattern").agg(F.sum("n").alias("cnt"))
     return found
 
@@ -132,10 +138,10 @@ def maximal_patterns(frequent: DataFrame) -> DataFrame:
     return frequent.join(covered, "pattern", "left_anti")
 
 
-def reference_counts(frequent: DataFrame, max_items: int = A.MAX_ITEMS) -> DataFrame:
+def reference_counts(frequent: DataFrame) -> DataFrame:
     """(pattern, cnt, ref_count): frequent proper supersets of each frequent pattern."""
     frequent = materialize(frequent)
-    refs = expand_subsets(frequent, "pattern", proper=True, max_items=max_items)
+    refs = expand_subsets(frequent, "pattern", proper=True)
     refs = refs.groupBy("pattern").agg(F.count(F.lit(1)).alias("ref_count"))
     return frequent.join(refs, "pattern", "left").fillna(0, ["ref_count"])
 

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import cmv
 from ..functions.time import bucket_start
-from ..scale import GroupCount, Lag, LastValue, RowNumber, RunningSum, dense_int_index, ordered_scan
+from ..scale import GroupCount, Lag, LastValue, RowNumber, RunningSum, dense_int_index, ordered_scan, range_scan
 from ..session import materialize
 from ..sources import metric_lines as L
 
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
-LIST_ROWS = 100_000
 
 
 # --- windows and CMV tables -------------------------------------------------
@@ -71,12 +70,14 @@ def measurements(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
 
     def process(e: Column) -> Column:
         p = F.split(e["value"], ",")
-        n = p[0].cast("bigint")
-        return _cmv_entry(F.lit("process"), e["key"], n > 0, n, p[1].cast("double"), p[2].cast("double"))
+        n, total, total_2 = F.get(p, F.lit(0)).try_cast("bigint"), F.get(p, F.lit(1)).try_cast("double"), F.get(p, F.lit(2)).try_cast("double")
+        # A statistic that can't be read counts as an empty one.
+        good = F.coalesce((n > 0) & total.isNotNull() & total_2.isNotNull(), F.lit(False))
+        return _cmv_entry(F.lit("process"), e["key"], good, n, total, total_2)
 
     def queue(e: Column) -> Column:
         def counter(name: str) -> Column:
-            return F.coalesce(e["value"][name].cast("double"), F.lit(0.0))
+            return F.coalesce(e["value"][name].try_cast("double"), F.lit(0.0))
 
         samples, length, arrivals = counter("sampleCount"), counter("totalQueueLen"), counter("totalCount")
         mean = length / F.nullif(samples, F.lit(0.0))
@@ -88,7 +89,7 @@ def measurements(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
         )
 
     entries = F.concat(
-        F.transform(F.map_entries("process"), process),
+        F.transform("process", process),
         F.flatten(F.transform(F.map_entries("queues"), queue)),
     )
     return parsed.select(*keep, F.inline(entries))
@@ -222,20 +223,15 @@ def completed_aggregate(paired: DataFrame, keys: Sequence[str] = ()) -> DataFram
     return done.groupBy(*keys).agg(*cmv.accumulate("x"))
 
 
-def collect_traces(executions: DataFrame, width_ms: int, record: Column, seq: str, time_ms: str, keys: Sequence[str] = ("component", "trace"), list_rows: int = LIST_ROWS) -> DataFrame:
-    """Execution records per window and key as sorted lists.
+def collect_traces(executions: DataFrame, width_ms: int, record: Column, seq: str, time_ms: str, keys: Sequence[str] = ("component", "trace")) -> DataFrame:
+    """Execution records per window and key in long form: (window_start, keys..., pos, record).
 
-    A list larger than ``list_rows`` is handed out in several rows (``part``),
-    cut by the unique integer ``seq``; no record is lost.
+    ``pos`` counts from 1 in the order of the records; no list is built, so a key may
+    have any number of records.
     """
-    timed = executions.withColumn("window_start", bucket_start(time_ms, width_ms)).withColumn("__rec", record)
+    timed = executions.select(bucket_start(time_ms, width_ms).alias("window_start"), *keys, record.alias("record"), seq)
     group = ["window_start", *keys]
-    large = timed.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > list_rows)
-    marked = timed.join(large, group, "left")
-    cut = F.floor(F.col(seq) / list_rows).cast("bigint")
-    part = F.when(F.col("__n").isNull(), F.lit(0).cast("bigint")).otherwise(cut)
-    lists = marked.withColumn("part", part).groupBy(*group, "part").agg(F.array_sort(F.collect_list("__rec")).alias("records"))
-    return lists
+    return range_scan(timed, group, ["record", seq], [RowNumber("pos")]).select(*group, "pos", "record")
 
 
 def traced_stats(traced: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ def transition_freq(states: DataFrame, entity: str = "entity", seq: str = "seq",
 
 
 def transition_prob(transitions: DataFrame) -> DataFrame:
-    """Adds ``prob``: p divided by the sum of p over the source state."""
+    """Adds ``prob``: p divided by the sum of p over the source state; null if that is 0."""
     totals = transitions.groupBy("from_state").agg(F.sum("p").alias("__total"))
-    return transitions.join(totals, "from_state").withColumn("prob", F.col("p") / F.col("__total")).drop("__total")
+    return transitions.join(totals, "from_state").withColumn("prob", F.try_divide("p", "__total")).drop("__total")
 
 
 def neighbor_prob(transitions: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def neighbor_prob(transitions: DataFrame) -> DataFrame:
     ways = F.when(F.col("from_state") == F.col("to_state"), F.array(ends)).otherwise(F.array(ends, back))
     both = transitions.select(F.explode(ways).alias("w"), "p").groupBy("w.state", "w.neighbor").agg(F.sum("p").alias("p"))
     totals = both.groupBy("state").agg(F.sum("p").alias("__total"))
-    return both.join(totals, "state").select("state", "neighbor", (F.col("p") / F.col("__total")).alias("prob"))
+    return both.join(totals, "state").select("state", "neighbor", F.try_divide("p", "__total").alias("prob"))
 
 
 def distinct_states(transitions: DataFrame) -> DataFrame:

@@ -39,26 +39,29 @@ def parse_traced(df: DataFrame, text: str = "text", keep: Sequence[str] = ()) ->
     records = F.when(latency, F.array(F.lit(None).cast("string"))).otherwise(F.from_json("__v", "array<string>"))
     rows = entries.withColumn("__r", F.explode(records)).withColumn("__p", F.split("__r", ","))
     four = F.size("__p") == 4
-    arrival = F.get("__p", F.lit(1)).cast("bigint")
-    departure = F.when(four, F.get("__p", F.lit(3))).otherwise(F.get("__p", F.lit(2))).cast("bigint")
-    duration = F.when(latency, F.col("__v").cast("double")).otherwise((departure - arrival).cast("double"))
+    # A number that can't be read is null, and so is what follows from it.
+    arrival = F.get("__p", F.lit(1)).try_cast("bigint")
+    departure = F.when(four, F.get("__p", F.lit(3))).otherwise(F.get("__p", F.lit(2))).try_cast("bigint")
+    duration = F.when(latency, F.col("__v").try_cast("double")).otherwise((departure - arrival).cast("double"))
     return rows.select(
         *keep, "component", F.get("__p", F.lit(0)).alias("source"), arrival.alias("arrival"),
-        F.when(four, F.get("__p", F.lit(2)).cast("double")).alias("service"), departure.alias("departure"),
-        F.get("__p", F.lit(1)).cast("double").alias("field1"), duration.alias("duration"),
+        F.when(four, F.get("__p", F.lit(2)).try_cast("double")).alias("service"), departure.alias("departure"),
+        F.get("__p", F.lit(1)).try_cast("double").alias("field1"), duration.alias("duration"),
     )
 
 
 def parse_window(df: DataFrame, text: str = "text", keep: Sequence[str] = (), strict: bool = True) -> DataFrame:
     """``comp:task[:time]->{json}`` -> (keep..., component, task, time, cid, type, process, queues).
 
-    ``process`` maps stream -> "cnt,sum,sumsq"; ``queues`` maps queue name ->
-    counters. Malformed lines and lines without latency or execution are skipped.
+    ``process`` and ``execute`` list (key, value): stream and "cnt,sum,sumsq";
+    ``queues`` maps queue name -> counters. A task id that is no number is null, ``cid`` keeps it. Malformed lines and lines without latency or execution are skipped.
     """
-    halves = F.split(text, "->")
-    head = F.split(halves[0], ":")
-    parsed = df.withColumn("__h", head).withColumn("__m", F.from_json(F.get(halves, F.lit(1)), "map<string,map<string,string>>"))
-    m = F.col("__m")
+    line = F.col(text)
+    head, body = F.regexp_extract(line, r"^(.*?)->", 1), F.regexp_extract(line, r"->\s*(\{.*\})\s*$", 1)
+    # Free-form reports: only the four entries are read as maps, others may be of any kind.
+    parsed = df.withColumn("__h", F.split(head, ":")).withColumn("__m", F.from_json(body, "map<string,string>"))
+    m, h = F.col("__m"), F.col("__h")
+    entry = lambda name: F.from_json(F.when(F.substring(F.ltrim(m[name]), 1, 1) == "{", m[name]), "map<string,string>")
     spout, bolt = F.map_contains_key(m, SPOUT_KEY), F.map_contains_key(m, BOLT_KEY)
     parsed = parsed.where(m.isNotNull() & (F.size("__h") >= 2) & (spout | bolt))
     names = {SEND_QUEUE: [SEND_QUEUE], RECV_QUEUE: [RECV_QUEUE]}
@@ -66,39 +69,25 @@ def parse_window(df: DataFrame, text: str = "text", keep: Sequence[str] = (), st
         for old, new in OLD_NAMES.items():
             names[new].append(old)
     queues = F.map_from_entries(F.filter(
-        F.array(*[F.struct(F.lit(q), F.coalesce(*[m[n] for n in ns])) for q, ns in names.items()]),
+        F.array(*[F.struct(F.lit(q), F.coalesce(*[entry(n) for n in ns])) for q, ns in names.items()]),
         lambda e: e["col2"].isNotNull(),
     ))
     none = F.create_map().cast("map<string,string>")
-    # A line that has both entries counts both in the spout's result.
-    process = F.map_concat(F.coalesce(m[SPOUT_KEY], none), F.coalesce(m[BOLT_KEY], none))
-    h = F.col("__h")
+    execute = F.coalesce(entry(BOLT_KEY), none)
+    # A line that has both entries counts both in the spout's result, also for the same stream.
+    process = F.concat(F.map_entries(F.coalesce(entry(SPOUT_KEY), none)), F.map_entries(execute))
     return parsed.select(
-        *keep, h[0].alias("component"), h[1].cast("int").alias("task"), F.get(h, F.lit(2)).cast("bigint").alias("time"),
+        *keep, h[0].alias("component"), h[1].try_cast("int").alias("task"), F.get(h, F.lit(2)).try_cast("bigint").alias("time"),
         F.concat_ws(":", h[0], h[1]).alias("cid"), F.when(spout, "spout").otherwise("bolt").alias("type"),
-        process.alias("process"), F.coalesce(m[BOLT_KEY], none).alias("execute"), queues.alias("queues"),
+        process.alias("process"), F.map_entries(execute).alias("execute"), queues.alias("queues"),
     )
 
 
 def explode_process(parsed: DataFrame, keep: Sequence[str], entry: str = "process") -> DataFrame:
     """(keep..., stream, cnt, total, total_2) per reported stream."""
-    rows = parsed.select(*keep, F.explode(entry).alias("stream", "__s")).withColumn("__p", F.split("__s", ","))
-    p = F.col("__p")
-    return rows.select(*keep, "stream", p[0].cast("bigint").alias("cnt"), p[1].cast("double").alias("total"), p[2].cast("double").alias("total_2"))
-
-
-def explode_queues(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """(keep..., queue, samples, queue_len, arrivals) per reported queue; absent counters are 0."""
-    rows = parsed.select(*keep, F.explode("queues").alias("queue", "__q"))
-    q = F.col("__q")
-
-    def counter(name: str) -> Column:
-        return F.coalesce(q[name].cast("bigint"), F.lit(0))
-
-    return rows.select(
-        *keep, "queue", counter("sampleCount").alias("samples"), counter("totalQueueLen").alias("queue_len"),
-        counter("totalCount").alias("arrivals"),
-    )
+    rows = parsed.select(*keep, F.inline(entry)).withColumn("__p", F.split("value", ","))
+    part = lambda i, kind: F.get("__p", F.lit(i)).try_cast(kind)
+    return rows.select(*keep, F.col("key").alias("stream"), part(0, "bigint").alias("cnt"), part(1, "double").alias("total"), part(2, "double").alias("total_2"))
 
 
 def encode_lines(points: DataFrame, keys: Sequence[str], name: str, value_json: str) -> DataFrame:
@@ -130,15 +119,12 @@ def window_layout(component: Column, task: Column, json: Column) -> Column:
 
 def parse_encoded(df: DataFrame, line: str, value: str = "map<string,string>") -> DataFrame:
     """Read any of the three layouts back: adds component, task, time, metrics."""
-    head = F.coalesce(
-        F.nullif(F.regexp_extract(line, r"^\[(.*?)\]:", 1), F.lit("")),
-        F.regexp_replace(F.regexp_extract(line, r"^([^\[{]*?)->", 1), ":", "-"),
-    )
-    time = F.nullif(F.regexp_extract(line, r"^\[.*?\]:(\d+):", 1), F.lit(""))
+    squared, arrow = r"^\[(.*)-(\d+)\]:(?:(\d+):)?\{", r"^(.*?):(\d+)(?::(\d+))?->"
+    # Names may hold dashes: the task is what follows the last one.
+    pick = lambda i: F.coalesce(F.nullif(F.regexp_extract(line, squared, i), F.lit("")), F.nullif(F.regexp_extract(line, arrow, i), F.lit("")))
     json = F.regexp_extract(line, r"(\{.*\})\s*$", 1)
-    return df.withColumn("component", F.substring_index(head, "-", 1)).withColumn(
-        "task", F.substring_index(head, "-", -1).cast("int")
-    ).withColumn("time", time.cast("bigint")).withColumn("metrics", F.from_json(json, value))
+    found = df.withColumn("component", pick(1)).withColumn("task", pick(2).try_cast("int")).withColumn("time", pick(3).try_cast("bigint"))
+    return found.withColumn("metrics", F.from_json(json, value))
 
 
 def select_metrics(points: DataFrame, names: Sequence[str], component: str = "component", name: str = "name", value: str = "value") -> DataFrame:

@@ -34,12 +34,13 @@ def parse_signed(df: DataFrame, text: str = "text") -> DataFrame:
 def parse_object(df: DataFrame, object_count: int, text: str = "text") -> DataFrame:
     """``seq|time|v1,v2,...`` -> (seq, id, vector, time) with id = seq mod object_count."""
     parts = F.split(text, r"[|]")
-    seq = parts[0].cast("bigint")
+    # Fields that are missing or no numbers become null; no line ends the job.
+    seq = F.get(parts, F.lit(0)).try_cast("bigint")
     return df.select(
         seq.alias("seq"),
         (seq % object_count).alias("id"),
-        F.transform(F.split(parts[2], ","), lambda x: x.cast("double")).alias("vector"),
-        parts[1].cast("bigint").alias("time"),
+        F.transform(F.split(F.get(parts, F.lit(2)), ","), lambda x: x.try_cast("double")).alias("vector"),
+        F.get(parts, F.lit(1)).try_cast("bigint").alias("time"),
     )
 
 

@@ -6,48 +6,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import arrays as A
 from ..operators import patterns as P
 from ..session import run_dir
 from .runs import drain_batches, drain_updates
 from .versions import VersionedTable
 
+NET = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n", T.LongType())])
 COUNTS = T.StructType([T.StructField("pattern", T.ArrayType(T.IntegerType())), T.StructField("cnt", T.LongType())])
 CHANGES = T.StructType([
     T.StructField("pattern", T.ArrayType(T.IntegerType())), T.StructField("is_maximal", T.BooleanType()), T.StructField("cnt", T.LongType()),
 ])
 
 
-def signed_counts(baskets: DataFrame, max_items: int = A.MAX_ITEMS) -> DataFrame:
-    """Streaming sum of +1 and -1 per pattern; the sums live in the state store."""
-    rows = P.expand_subsets(baskets, "ids", ["is_add"], max_items=max_items)
-    return rows.groupBy("pattern").agg(F.sum(F.when(F.col("is_add"), 1).otherwise(-1)).alias("cnt"))
+def net_baskets(baskets: DataFrame) -> DataFrame:
+    """Streaming sum of +1 and -1 per distinct basket; the sums live in the state store.
+
+    The state grows with distinct baskets, not with their subsets.
+    """
+    return baskets.groupBy("ids").agg(F.sum(F.when(F.col("is_add"), 1).otherwise(-1)).alias("n"))
 
 
 def pattern_counts(baskets: DataFrame, folder: str | None = None) -> DataFrame:
     """Counts of a basket stream after all its input; positive ones only."""
-    return drain_updates(signed_counts(baskets), ["pattern"], "pattern-counts", folder).where("cnt > 0")
+    return P.pattern_counts(drain_updates(net_baskets(baskets), ["ids"], "pattern-counts", folder).where("n <> 0"))
 
 
 def maximal_changelog(baskets: DataFrame, threshold: int, folder: str | None = None) -> DataFrame:
     """(pattern, is_maximal, cnt, batch_id): state changes settled per micro-batch.
 
-    Counts stay in the state store. Only the frequent patterns are kept as a
-    table; a batch replaces the rows of the patterns it touched.
+    A batch replaces the baskets it touched; a basket whose sum falls to 0 leaves.
+    The maximal patterns of the batch before are read, those after are mined.
     """
     spark = baskets.sparkSession
     folder = folder or run_dir(spark, "changelog")
-    touched = VersionedTable(f"{folder}/touched", COUNTS)
-    frequent = VersionedTable(f"{folder}/frequent", COUNTS)
+    net = VersionedTable(f"{folder}/net", NET)
+    maximal = VersionedTable(f"{folder}/maximal", COUNTS)
     changes = VersionedTable(f"{folder}/changes", CHANGES)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        now = touched.write(batch, batch_id)
-        before = frequent.read(session, batch_id - 1)
-        kept = before.join(now.select("pattern"), "pattern", "left_anti")
-        after = frequent.write(kept.unionByName(now.where(F.col("cnt") >= threshold)), batch_id)
-        changes.write(P.maximal_changes(P.maximal_patterns(before), P.maximal_patterns(after)), batch_id)
-
-    drain_batches(signed_counts(baskets), write, folder)
+        batch.persist()
+        kept = net.read(session, batch_id - 1).join(batch.select("ids"), "ids", "left_anti")
+        now = net.write(kept.unionByName(batch.where("n <> 0").select("ids", "n")), batch_id)
+        after = maximal.write(P.maximal_patterns(P.frequent_patterns(now, threshold)), batch_id)
+        changes.write(P.maximal_changes(maximal.read(session, batch_id - 1), after), batch_id)
+        batch.unpersist()
+
+    drain_batches(net_baskets(baskets), write, folder)
     return changes.all(spark)

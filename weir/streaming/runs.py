@@ -11,12 +11,21 @@ from ..session import run_dir
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream over the files of ``folder`` that match ``name``; schema from the files."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """Stream over a table: ``folder/name`` itself if it is a folder, else the files of ``folder`` that match ``name``."""
+    path = f"{folder}/{name}"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if "*" not in name and _status(spark, path, "isDirectory"):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def _status(spark: SparkSession, path: str, question: str) -> bool:
+    """``exists`` or ``isDirectory`` in whatever file system the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return getattr(place.getFileSystem(spark._jsc.hadoopConfiguration()), question)(place)
 
 
 def drain_to_parquet(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
@@ -57,6 +66,8 @@ def drain_updates(stream: DataFrame, keys: Sequence[str], label: str, folder: st
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch_id}")
 
     drain_batches(stream, write, folder)
+    if not _status(spark, f"{folder}/rows", "exists"):  # the source was empty
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(f"{folder}/rows")
     values = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("__v"))
