@@ -41,10 +41,19 @@ def test_subsets(spark):
     assert [r.pattern for r in P.expand_subsets(df, proper=True).collect()] == every[:6]
 
 
-def test_wide_basket_fails_loudly(spark):
-    df = spark.createDataFrame([(list(range(30)),)], "ids array<int>")
-    with pytest.raises(Exception, match="too many items"):
-        P.expand_subsets(df).collect()
+def test_subsets_of_a_wide_basket_come_in_chunks(spark):
+    df = spark.createDataFrame([(list(range(13)),), ([1],)], "ids array<int>")
+    rows = [tuple(r.pattern) for r in P.expand_subsets(df).collect()]
+    assert len(rows) == 2**13 and len(set(rows)) == 2**13 - 1 and all(r == tuple(sorted(r)) for r in rows)
+    assert P.expand_subsets(df, proper=True).count() == 2**13 - 2
+
+
+def test_forty_items(spark):
+    """Two baskets of 40 items that share three: no row holds all subsets."""
+    a, b = list(range(40)), [0, 1, 2] + list(range(100, 137))
+    df = spark.createDataFrame([(a, True), (b, True), (b, True), (b, False)], "ids array<int>, is_add boolean")
+    frequent = P.frequent_patterns(P.net_baskets(df), 2)
+    assert {tuple(r.pattern) for r in P.maximal_patterns(frequent).collect()} == {(0, 1, 2)} and frequent.count() == 7
 
 
 def test_sample_counts(baskets):
@@ -59,7 +68,7 @@ def test_sample_patterns(baskets, t, n, maximal):
     net = P.net_baskets(baskets)
     frequent = P.frequent_patterns(net, t)
     assert frequent.count() == n
-    assert named(P.frequent_patterns_by_level(net, t)) == named(frequent)
+    assert named(P.frequent_patterns(net, t)) == named(frequent)
     assert named(P.maximal_patterns(frequent)) == maximal
     assert named(P.reference_counts(frequent).where("ref_count = 0")) == maximal
 
@@ -102,5 +111,5 @@ def test_level_miner_on_wide_baskets(spark):
     rnd = random.Random(5)
     rows = [(sorted({1, 2, 3} | set(rnd.sample(range(10, 500), 27))), 1) for _ in range(40)]
     net = spark.createDataFrame(rows, "ids array<int>, n bigint")
-    got = {tuple(r.pattern): r.cnt for r in P.frequent_patterns_by_level(net, 30).collect()}
+    got = {tuple(r.pattern): r.cnt for r in P.frequent_patterns(net, 30).collect()}
     assert got == {p: 40 for k in (1, 2, 3) for p in combinations((1, 2, 3), k)}

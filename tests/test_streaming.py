@@ -15,7 +15,7 @@ from weir.streaming import outliers as SO
 from weir.streaming import patterns as SP
 from weir.streaming import telemetry as SM
 from weir.streaming import text as ST
-from weir.streaming.runs import parquet_stream
+from weir.streaming.runs import drain_to_parquet, drain_updates, parquet_stream
 
 from .test_text import SENTENCES
 
@@ -162,3 +162,11 @@ def test_latest_metric(spark, tmp_path):
     put(df.where("ts % 2 = 1"), tmp_path / "q")
     got = SM.latest_metric(stream(spark, tmp_path / "q", 1), ["task", "name"], ["ts"], str(tmp_path / "s"))
     assert rows(got) == rows(M.latest_metric(df, ["task", "name"], ["ts"]))
+
+
+def test_folder_table_and_empty_source(spark, tmp_path):
+    """A table stored as a folder is read whole; a run without input gives no rows."""
+    spark.range(30).select(F.col("id"), F.lit("a b").alias("text")).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert drain_to_parquet(parquet_stream(spark, str(tmp_path), "t.parquet"), "folder").count() == 30
+    none = parquet_stream(spark, str(tmp_path), "t.parquet").where("id < 0").groupBy("text").count()
+    assert drain_updates(none, ["text"], "none").count() == 0

@@ -107,12 +107,29 @@ def test_greedy_segments_match_replay(spark, seed):
     assert got == want
 
 
-def test_hot_trace_lists_are_cut_not_dropped(spark):
+def test_hot_traces_keep_every_record(spark):
     df = spark.range(100).select(F.col("id").alias("seq"), F.when(F.col("id") < 90, "hot").otherwise("cold").alias("trace"), F.lit("c").alias("component"), F.lit(5).cast("bigint").alias("at"))
-    rows = M.collect_traces(df, 10, F.col("seq").cast("string"), "seq", "at", list_rows=20).collect()
-    hot = [r for r in rows if r.trace == "hot"]
-    assert sorted(int(x) for r in hot for x in r.records) == list(range(90)) and max(len(r.records) for r in hot) <= 20
-    assert [len(r.records) for r in rows if r.trace == "cold"] == [10]
+    rows = M.collect_traces(df, 10, F.format_string("%03d", "seq"), "seq", "at").collect()
+    hot = sorted((r.pos, r.record) for r in rows if r.trace == "hot")
+    assert hot == [(i + 1, f"{i:03d}") for i in range(90)]
+    assert sorted(r.pos for r in rows if r.trace == "cold") == list(range(1, 11))
+
+
+def test_ordinary_lines_of_any_form(spark):
+    lines = [
+        'a-b:x1:9->{"execute":{"s:default":"2,4.0,8.0"},"emit":5,"acked":[1,2]}',
+        'c:2->{"complete-latency":{"s":"1,1.0,1.0"},"execute":{"s":"3,5.0,9.0"}}',
+        'c:3->{"execute":{"s":"x,1","t":"1,2.0,4.0"}}', "no line", 'd:1->{"execute":7}',
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "text string")
+    parsed = L.parse_window(df).collect()
+    assert [(r.component, r.task, r.time, r.cid, r.type) for r in parsed] == [
+        ("a-b", None, 9, "a-b:x1", "bolt"), ("c", 2, None, "c:2", "spout"), ("c", 3, None, "c:3", "bolt"), ("d", 1, None, "d:1", "bolt")]
+    got = {(r.cid, r.stream): (r.cnt, r.avg) for r in M.process_stats(L.parse_window(df)).collect()}
+    assert got[("c:2", "s")] == (4, 1.5) and got[("c:3", "t")] == (1, 2.0) and got[("a-b:x1", "s:default")] == (2, 2.0)
+    texts = ['[word-counter-3]:{"k":"v"}', 'comp-x:3:99->{"k":"v"}', '[a-b-4]:77:{"k":"v"}']
+    back = L.parse_encoded(spark.createDataFrame([(x,) for x in texts], "line string"), "line").collect()
+    assert [(r.component, r.task, r.time) for r in back] == [("word-counter", 3, None), ("comp-x", 3, 99), ("a-b", 4, 77)]
 
 
 def test_correlate_keeps_every_row(spark):

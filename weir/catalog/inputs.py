@@ -88,11 +88,10 @@ def object_lines(spark, sf):
 
 def sample_columns(events):
     stream = F.when(F.col("event_id") % 3 == 0, "side").otherwise("default")
-    s = events.select(
+    return events.select(
         epoch_ms("ts").alias("time"), F.col("event_type").alias("component"),
         (F.col("user_id") % 4).cast("int").alias("task"), stream.alias("stream"), F.col("value").alias("ms"),
     )
-    return s.where((F.expr(f"time div {DAY_MS}") + F.col("task")) % 5 != 0)
 
 
 def samples(spark, sf):
@@ -179,11 +178,15 @@ def metric_points(spark, sf):
 
 def executions(spark, sf):
     arrival, took = epoch_ms("ts"), F.round("value").cast("bigint")
-    e = table(spark, sf, "events").select(
+    return table(spark, sf, "events").select(
         F.col("event_id").alias("seq"), F.expr("event_id div 5").alias("trace"), F.col("event_type").alias("component"),
         arrival.alias("arrival"), took.alias("took"), (arrival + took).alias("departure"),
     )
-    return e.where("trace % 11 <> 0")
+
+
+def some_executions(spark, sf):
+    """Executions with whole traces missing, for correlations that must keep or drop unmatched ones."""
+    return executions(spark, sf).where("trace % 11 <> 0")
 
 
 def completions(spark, sf):

@@ -72,9 +72,8 @@ cte("proj", """SELECT seq, id, p AS projection_id,
 cte("neigh", """SELECT a.projection_id, a.id, count(*) - 1 AS neighbors FROM proj a JOIN proj b
   ON a.projection_id = b.projection_id AND abs(a.pv - b.pv) <= 0.02 GROUP BY ALL""", "proj")
 
-cte("samples", f"""SELECT * FROM (SELECT (epoch_us(ts) // 1000) AS time, event_type AS component, CAST(user_id % 4 AS INTEGER) AS task,
-  CASE WHEN event_id % 3 = 0 THEN 'side' ELSE 'default' END AS stream, value AS ms FROM events)
-  WHERE (time // {DAY} + task) % 5 <> 0""")
+cte("samples", """SELECT (epoch_us(ts) // 1000) AS time, event_type AS component, CAST(user_id % 4 AS INTEGER) AS task,
+  CASE WHEN event_id % 3 = 0 THEN 'side' ELSE 'default' END AS stream, value AS ms FROM events""")
 cte("rep", f"""SELECT component, task, time // {DAY} * {DAY} AS cycle, stream, count(*) AS n, round(sum(ms), 6) AS t,
   round(sum(ms * ms), 6) AS t2, stream = 'side' AND (time // {DAY} + task) % 7 = 1 AS silent FROM samples GROUP BY ALL""", "samples")
 cte("rmap", f"""SELECT component, task, cycle, cycle // {DAY} AS day, CAST(sum(n) AS BIGINT) AS n, CAST(floor(sum(t)) AS BIGINT) AS t,
@@ -108,7 +107,8 @@ cte("sel", """SELECT * FROM points WHERE component NOT LIKE '\\_\\_%' ESCAPE '\\
 RENAME = "CASE name WHEN '__sendqueue' THEN 'send-queue' WHEN '__receive' THEN 'recv-queue' ELSE name END"
 
 cte("exe", """SELECT event_id AS seq, event_id // 5 AS trace, event_type AS component, (epoch_us(ts) // 1000) AS arrival,
-  CAST(round(value) AS BIGINT) AS took, (epoch_us(ts) // 1000) + CAST(round(value) AS BIGINT) AS departure FROM events WHERE (event_id // 5) % 11 <> 0""")
+  CAST(round(value) AS BIGINT) AS took, (epoch_us(ts) // 1000) + CAST(round(value) AS BIGINT) AS departure FROM events""")
+cte("some_exe", "SELECT * FROM exe WHERE trace % 11 <> 0", "exe")
 cte("comp", """SELECT event_id // 5 AS trace, min((epoch_us(ts) // 1000)) AS s, max((epoch_us(ts) // 1000) + CAST(round(value) AS BIGINT)) AS e,
   (event_id // 5) % 13 = 0 AS failed FROM events GROUP BY ALL""")
 cte("traced", """SELECT trace, '_complete-latency' AS component, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS BIGINT) AS departure, CAST(e - s AS DOUBLE) AS duration

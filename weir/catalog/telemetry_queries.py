@@ -95,16 +95,16 @@ def elapsed_positive(spark, sf):
     return M.elapsed(e, "s", "e").select("seq", F.round("elapsed_ms", 6).alias("elapsed_ms"))
 
 
-@query("trace_correlate", with_("""SELECT trace, e - s AS latency, component, arrival, departure FROM comp LEFT JOIN exe USING (trace)""", "comp", "exe"))
+@query("trace_correlate", with_("""SELECT trace, e - s AS latency, component, arrival, departure FROM comp LEFT JOIN some_exe USING (trace)""", "comp", "some_exe"))
 def trace_correlate(spark, sf):
     done = I.completions(spark, sf).select("trace", (F.col("end") - F.col("start")).alias("latency"))
-    return M.correlate_traces(done, I.executions(spark, sf)).select("trace", "latency", "component", "arrival", "departure")
+    return M.correlate_traces(done, I.some_executions(spark, sf)).select("trace", "latency", "component", "arrival", "departure")
 
 
-@query("trace_correlate_inner", with_("""SELECT trace, e - s AS latency, component, arrival, departure FROM comp JOIN exe USING (trace)""", "comp", "exe"))
+@query("trace_correlate_inner", with_("""SELECT trace, e - s AS latency, component, arrival, departure FROM comp JOIN some_exe USING (trace)""", "comp", "some_exe"))
 def trace_correlate_inner(spark, sf):
     done = I.completions(spark, sf).select("trace", (F.col("end") - F.col("start")).alias("latency"))
-    rows = M.correlate_traces(done, I.executions(spark, sf), keep_unmatched=False)
+    rows = M.correlate_traces(done, I.some_executions(spark, sf), keep_unmatched=False)
     return rows.select("trace", "latency", "component", "arrival", "departure")
 
 
