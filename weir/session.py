@@ -39,12 +39,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
     A machine-local folder is used only when the session runs in one process
     and names no folder (tests, laptops).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base
     if not spark.sparkContext.master.startswith("local"):
