@@ -1,16 +1,17 @@
-"""Every registered query against its SQL on the smallest tables, and its plan."""
+"""Every query of the catalog against its SQL on the smallest tables, and its plan."""
 
 import os
 
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import TABLES, rows_of
+from weir.catalog.all import ORACLES as SQL
+from weir.catalog.all import QUERIES
 
 from .conftest import SMALL
 
-QUERIES, SQL = queries(), oracle_sql()
 # Cross joins and Python in the plan.
 BAD_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas")
 
