@@ -114,3 +114,18 @@ def test_report_actions(spark):
     assert (rows["few"].action, rows["many"].action, rows["never"].action) == ("add", "rebalance", "unreachable")
     assert rows["few"].extra == rows["few"].min_plan_total - 4 and rows["never"].min_plan_total is None
     assert [(r.topology, r.suggested_k) for r in C.rebalance_plan(s, rep).collect()] == [("many", 9)]
+
+
+def test_prefix_of_times(spark):
+    got = one(spark, Q.erlang_sojourns(F.lit(30.0), F.lit(1.0), F.lit(31).cast("bigint"), F.lit(9).cast("bigint")))
+    assert len(got) == 10 and all(abs(t - sojourn(30.0, 1.0, 31 + i)) < 1e-9 for i, t in enumerate(got))
+
+
+def test_target_close_to_the_floor(spark):
+    rows = [("t", "a", 40.0, 1.0, 41), ("t", "b", 3.0, 0.5, 7), ("u", "a", 0.0, 2.0, 1)]
+    targets = [("t", 3.0 + 1e-4, 1.0), ("u", 0.5 + 1e-12, 1.0)]
+    got = {(r.topology, r.cid): r.k for r in C.min_allocation_for_target(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(targets, "topology string, target_s double, adj double")).collect()}
+    n = 48
+    while sum(sojourn(lam, mu, k) for (lam, mu), k in zip([(40.0, 1.0), (3.0, 0.5)], greedy(rows[:2], n).values())) > 3.0 + 1e-4:
+        n += 1
+    assert {c: got["t", c] for c in "ab"} == greedy(rows[:2], n) and got["u", "a"] == 1

@@ -65,3 +65,20 @@ def test_transition_freq(spark):
     rows = [("e", i, s) for i, s in enumerate("abab")] + [("f", 0, "b")]
     df = spark.createDataFrame(rows, "entity string, seq bigint, state string")
     assert {(r.from_state, r.to_state): (r.cnt, r.p) for r in S.transition_freq(df).collect()} == {("a", "b"): (2, 0.4), ("b", "a"): (1, 0.2)}
+
+
+def test_items_are_not_shuffled_by_group(spark):
+    ranges = spark.createDataFrame([("g", 1, 1, 0, 3), ("g", 1, 2, 4, 6), ("g", 2, 1, 0, 6)], "grp string, plan_id int, bucket int, start int, end int")
+    mine = items(spark)
+    for df in (N.piece_sums(mine, ranges, "w"), N.assign_buckets(mine, ranges), N.load_cap(mine, 2), N.plan_feasible(mine, ranges)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted((r.lo, r.w) for r in N.piece_sums(mine, ranges, "w").collect()) == [(0, 4.0), (4, 3.0)]
+
+
+def test_gaps_between_buckets_count_nowhere(spark):
+    ranges = spark.createDataFrame([("g", 1, 1, 0, 1), ("g", 1, 2, 4, 6), ("g", 2, 1, 1, 5)], "grp string, plan_id int, bucket int, start int, end int")
+    pairs = spark.createDataFrame([(1, 2)], "plan_a int, plan_b int")
+    got = {(r.bucket_a, r.bucket_b): r.overlap for r in N.plan_overlap(items(spark), ranges, pairs).collect()}
+    assert got == {(1, 1): 1.0, (2, 1): 2.0}
+    assert {(r.plan_id, r.bucket): r.load for r in N.bucket_loads(items(spark), ranges).collect()} == {(1, 1): 2.0, (1, 2): 3.0, (2, 1): 5.0}

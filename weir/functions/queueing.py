@@ -45,6 +45,23 @@ def erlang_sojourn(lam: Column, mu: Column, k: Column) -> Column:
     ).otherwise(F.lit(UNBOUNDED))
 
 
+def erlang_sojourns(lam: Column, mu: Column, k: Column, more: Column) -> Column:
+    """Mean times with k, k + 1, ... k + more servers by one pass of the recursion; k must be stable, more 1 at least."""
+    load = lam / mu
+
+    def step(b: Column, i: Column) -> Column:
+        return load * b / (i + load * b)
+
+    first = F.aggregate(F.sequence(F.lit(1).cast("bigint"), k), F.lit(1.0), step)
+    blocking = F.aggregate(F.sequence(k + 1, k + more), F.array(first), lambda bs, i: F.concat(bs, F.array(step(F.element_at(bs, -1), i))))
+
+    def time(b: Column, at: Column) -> Column:
+        waiting = b / (1.0 - rho(lam, mu, k + at) * (1.0 - b))
+        return waiting / (mu * (k + at) - lam) + 1.0 / mu
+
+    return F.transform(blocking, time)
+
+
 def pooled_mm1_sojourn(lam: Column, mu: Column, k: Column) -> Column:
     """Mean time in one server with the pooled rate of k servers."""
     return F.when(stable(lam, mu, k), 1.0 / (mu * k - lam)).otherwise(F.lit(UNBOUNDED))

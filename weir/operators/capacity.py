@@ -6,6 +6,8 @@ second and ``k`` servers. All questions are answered for all topologies at once.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from ..functions import queueing as Q
 from ..scale import RowNumber, RunningSum, range_scan
 from ..session import materialize
 
+# Servers a service offers in the first round of an allocation.
+FIRST_OFFER = 4
+
 
 def _lm() -> tuple[Column, Column]:
     return F.col("lam"), F.col("mu")
@@ -98,19 +103,37 @@ def server_totals(services: DataFrame) -> DataFrame:
     return sums.select("topology", F.when(F.col("undefined"), Q.INT_MAX).otherwise(F.col("s")).cast("bigint").alias("min_total"), "plan_total")
 
 
-def _ranked_gains(services: DataFrame, extra: str) -> DataFrame:
-    """Latency drops of adding servers one by one, best first per topology.
+def _greedy(services: DataFrame, taken: Column, cap: str | None = None) -> DataFrame:
+    """``services`` with ``won``: the servers each gets when the best latency drops are taken first.
 
-    ``extra`` is a per-topology column with the number of servers to consider.
-    Sojourn time is convex in k, so taking the largest drops in order equals
-    adding one server at a time to the best service.
+    Sojourn time is convex in k, so taking the largest drops in order equals adding
+    one server at a time to the best service. ``taken`` accepts a drop by its ``rank``
+    or ``gained`` (drops up to it, its own ``gain`` included). A service offers a few
+    servers at first; where all of its offers were taken, it offers twice as many (``cap``
+    names a column with the most that can be needed) and its topology is ranked again, so
+    the work follows the servers that are added.
     """
     lam, mu = _lm()
-    steps = services.where(F.col(extra) > 0).withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(extra).cast("bigint"))))
-    k = F.col("min_k") + F.col("step") - 1
-    gained = steps.withColumn("gain", Q.erlang_sojourn(lam, mu, k) - Q.erlang_sojourn(lam, mu, k + 1))
-    gained = gained.withColumn("order", -F.col("gain"))
-    return range_scan(gained, ["topology"], ["order", "cid", "step"], [RowNumber("rank"), RunningSum("gained", "gain")])
+    first = F.lit(FIRST_OFFER).cast("bigint")
+    waiting = materialize(services.withColumn("offer", F.least(first, cap) if cap else first))
+    names, done = services.columns, []
+    while True:
+        times = waiting.withColumn("__times", Q.erlang_sojourns(lam, mu, F.col("min_k"), F.col("offer")))
+        drops = F.zip_with(F.slice("__times", 1, F.col("offer").cast("int")), F.slice("__times", 2, F.col("offer").cast("int")), lambda a, b: a - b)
+        steps = times.select(*names, F.posexplode(drops).alias("step", "gain")).withColumn("order", -F.col("gain"))
+        ranked = range_scan(steps, ["topology"], ["order", "cid", "step"], [RowNumber("rank"), RunningSum("gained", "gain")])
+        won = ranked.where(taken).groupBy("topology", "cid").agg(F.count(F.lit(1)).alias("won"))
+        rows = waiting.join(won, ["topology", "cid"], "left").withColumn("won", F.coalesce("won", F.lit(0)))
+        full = F.col("won") >= F.col("offer")
+        rows = rows.withColumn("full", full & (F.col("offer") < F.col(cap)) if cap else full)
+        again = rows.groupBy("topology").agg(F.bool_or("full").alias("again"))
+        rows = materialize(rows.join(again, "topology"))
+        done.append(rows.where(~F.col("again")).select(*names, "won"))
+        if rows.where("again").isEmpty():
+            return functools.reduce(DataFrame.union, done)
+        more = F.col("offer") * 2
+        more = F.when(F.col("full"), F.least(more, cap) if cap else more).otherwise(F.col("offer"))
+        waiting = rows.where("again").select(*names, more.alias("offer"))
 
 
 def suggest_allocation(services: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -120,9 +143,8 @@ def suggest_allocation(services: DataFrame, budgets: DataFrame) -> DataFrame:
     base = services.select("topology", "cid", "lam", "mu").withColumn("min_k", Q.min_servers(lam, mu))
     base = base.join(totals.join(budgets.select("topology", "total"), "topology"), "topology")
     base = base.withColumn("fits", (F.col("min_total") < Q.INT_MAX) & (F.col("min_total") <= F.col("total")))
-    base = base.withColumn("spare", F.when(F.col("fits"), F.col("total") - F.col("min_total")).otherwise(0))
-    won = _ranked_gains(base, "spare").where(F.col("rank") <= F.col("spare"))
-    won = won.groupBy("topology", "cid").agg(F.count(F.lit(1)).alias("won"))
+    base = materialize(base.withColumn("spare", F.when(F.col("fits"), F.col("total") - F.col("min_total")).otherwise(0).cast("bigint")))
+    won = _greedy(base.where("spare > 0"), F.col("rank") <= F.col("spare"), "spare").select("topology", "cid", "won")
     out = base.join(won, ["topology", "cid"], "left")
     k = F.when(F.col("fits"), F.col("min_k") + F.coalesce("won", F.lit(0)))
     return out.select("topology", "cid", k.cast("bigint").alias("k"))
@@ -131,34 +153,24 @@ def suggest_allocation(services: DataFrame, budgets: DataFrame) -> DataFrame:
 def min_allocation_for_target(services: DataFrame, targets: DataFrame) -> DataFrame:
     """Fewest servers that meet targets(topology, target_s, adj[, delta]).
 
-    (topology, cid, k); k is null when the target cannot be met. The search is
-    bounded exactly: giving service i enough servers that its waiting time
-    cannot exceed an equal share of the slack meets the target, so no more
-    than the sum of those servers is ever needed.
+    (topology, cid, k); k is null when the target cannot be met. A server that
+    changes nothing in double precision is never added.
     """
     lam, mu = _lm()
     delta = F.col("delta") if "delta" in targets.columns else F.lit(0.0)
     goals = targets.select("topology", F.col("target_s").cast("double").alias("target_s"), F.col("adj").cast("double").alias("adj"), delta.cast("double").alias("delta"))
     rows = services.select("topology", "cid", "lam", "mu").withColumn("min_k", Q.min_servers(lam, mu)).join(goals, "topology")
     per = rows.groupBy("topology").agg(
-        F.sum(1.0 / F.nullif(mu, F.lit(0.0))).alias("floor_s"), F.min("mu").alias("low_mu"), F.count(F.lit(1)).alias("m"),
-        F.sum(Q.erlang_sojourn(lam, mu, F.col("min_k"))).alias("base_s"),
+        F.sum(1.0 / F.nullif(mu, F.lit(0.0))).alias("floor_s"), F.min("mu").alias("low_mu"),
+        F.sum(Q.erlang_sojourn(lam, mu, F.when(mu > 0, F.col("min_k")).otherwise(1))).alias("base_s"),
     )
     rows = rows.join(per, "topology")
     scaled_ok = F.col("floor_s") * F.col("adj") < F.col("target_s")
     plain_ok = F.col("floor_s") + F.col("delta") <= F.col("target_s")
-    rows = rows.withColumn("feasible", (F.col("low_mu") > 0) & plain_ok & scaled_ok)
-    slack = F.col("target_s") / F.col("adj") - F.col("floor_s")
-    # waiting time in M/M/k is at most 1 / (k mu - lambda)
-    enough = F.ceil((lam + F.col("m") / F.when(slack > 0, slack)) / F.nullif(mu, F.lit(0.0)))
-    rows = rows.withColumn("more", F.when(F.col("feasible"), F.greatest(enough - F.col("min_k"), F.lit(0))).otherwise(0))
-    bound = rows.groupBy("topology").agg(F.sum("more").alias("bound"))
-    rows = rows.join(bound, "topology")
-    ranked = _ranked_gains(rows.where("feasible"), "bound")
-    left = (F.col("base_s") - (F.col("gained") - F.col("gain"))) * F.col("adj")
+    rows = materialize(rows.withColumn("feasible", (F.col("low_mu") > 0) & plain_ok & scaled_ok))
     # A server is added while the target is missed without it.
-    taken = ranked.withColumn("before", left).where(F.col("before") > F.col("target_s"))
-    won = taken.groupBy("topology", "cid").agg(F.count(F.lit(1)).alias("won"))
+    before = (F.col("base_s") - (F.col("gained") - F.col("gain"))) * F.col("adj")
+    won = _greedy(rows.where("feasible"), (before > F.col("target_s")) & (F.col("gain") > 0)).select("topology", "cid", "won")
     out = rows.join(won, ["topology", "cid"], "left")
     return out.select("topology", "cid", F.when(F.col("feasible"), F.col("min_k") + F.coalesce("won", F.lit(0))).cast("bigint").alias("k"))
 

@@ -3,7 +3,10 @@
 ``items(grp, idx, w, size)`` has a dense 0-based ``idx`` per group; a plan cuts
 a group's items into contiguous buckets: ``ranges(grp, plan_id, bucket, start,
 end)`` with inclusive ends, or sizes. A plan has few buckets, an item table may
-be huge: items never leave their rows, plans travel to them.
+be huge and one group may hold most of it: what is known per group is written,
+measured and sent to the items. The cuts of all plans of a group split its items
+into pieces; items are read once for the sums of the pieces, and buckets and
+overlaps of buckets are sums over those few rows.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import DEFAULT_WIDTH, GroupSum, RunningSum, ordered_scan
+from ..scale import DEFAULT_WIDTH, GroupSum, RunningSum, broadcast_if_small, ordered_scan
+from ..session import materialize
 
 
 def load_cap(items: DataFrame, buckets: int, ratio: float = 1.3) -> DataFrame:
@@ -19,7 +23,12 @@ def load_cap(items: DataFrame, buckets: int, ratio: float = 1.3) -> DataFrame:
     if ratio <= 1:
         raise ValueError(f"ratio must exceed 1: {ratio}")
     totals = items.groupBy("grp").agg((F.sum("w") / buckets * ratio).alias("limit"))
-    return items.join(totals, "grp").withColumn("capped", F.least("w", "limit"))
+    return items.join(_known(totals), "grp").withColumn("capped", F.least("w", "limit"))
+
+
+def _known(df: DataFrame) -> DataFrame:
+    """A frame with a few rows per group, written and measured, to be joined with items."""
+    return broadcast_if_small(materialize(df))
 
 
 def sizes_to_ranges(plans: DataFrame) -> DataFrame:
@@ -47,19 +56,32 @@ def _bucket_of(idx: str, plan: str) -> Column:
 
 def assign_buckets(items: DataFrame, ranges: DataFrame) -> DataFrame:
     """Items with (plan_id, bucket) for every plan of their group."""
-    rows = items.join(_plan_rows(ranges, "__plan"), "grp")
+    rows = items.join(_known(_plan_rows(ranges, "__plan")), "grp")
     return rows.withColumn("bucket", _bucket_of("idx", "__plan")).drop("__plan")
 
 
+def piece_sums(items: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
+    """(grp, lo, value): sums between neighbouring cuts of the plans; ``lo`` is a piece's first index."""
+    cut = F.explode(F.array(F.col("start").cast("bigint"), F.col("end").cast("bigint") + 1))
+    cuts = ranges.select("grp", cut.alias("cut")).groupBy("grp").agg(F.collect_set("cut").alias("__cuts"))
+    rows = items.select("grp", "idx", value).join(_known(cuts), "grp")
+    lo = F.array_max(F.filter("__cuts", lambda c: c <= F.col("idx")))
+    return rows.groupBy("grp", lo.alias("lo")).agg(F.sum(value).alias(value)).where("lo is not null")
+
+
+def _in_plan(pieces: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Pieces with (plan_id, bucket) of each plan they lie in."""
+    r = ranges.select(F.col("grp").alias("__g"), "plan_id", "bucket", "start", "end")
+    return pieces.join(r, (F.col("grp") == F.col("__g")) & F.col("lo").between(F.col("start"), F.col("end"))).drop("__g", "start", "end")
+
+
 def plan_overlap(items: DataFrame, ranges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(grp, plan_a, plan_b, bucket_a, bucket_b, overlap) for pairs(plan_a, plan_b)."""
-    a = _plan_rows(ranges, "__a").withColumnRenamed("plan_id", "plan_a")
-    b = _plan_rows(ranges, "__b").withColumnRenamed("plan_id", "plan_b")
-    both = a.join(pairs, "plan_a").join(b, ["grp", "plan_b"])
-    rows = items.join(both, "grp")
-    rows = rows.select("grp", "plan_a", "plan_b", _bucket_of("idx", "__a").alias("bucket_a"), _bucket_of("idx", "__b").alias("bucket_b"), "size")
-    sums = rows.groupBy("grp", "plan_a", "plan_b", "bucket_a", "bucket_b").agg(F.sum("size").alias("overlap"))
-    return sums.where("bucket_a IS NOT NULL AND bucket_b IS NOT NULL")
+    placed = materialize(_in_plan(piece_sums(items, ranges, "size"), ranges))
+    a = placed.select("grp", "lo", F.col("plan_id").alias("plan_a"), F.col("bucket").alias("bucket_a"), "size")
+    b = placed.select("grp", "lo", F.col("plan_id").alias("plan_b"), F.col("bucket").alias("bucket_b"))
+    rows = a.join(pairs.select("plan_a", "plan_b"), "plan_a").join(b, ["grp", "lo", "plan_b"])
+    return rows.groupBy("grp", "plan_a", "plan_b", "bucket_a", "bucket_b").agg(F.sum("size").alias("overlap"))
 
 
 def plan_validate(items: DataFrame, plans: DataFrame) -> DataFrame:
@@ -78,7 +100,7 @@ def plan_validate(items: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def bucket_loads(items: DataFrame, ranges: DataFrame, weight: str = "w") -> DataFrame:
-    rows = assign_buckets(items, ranges).where("bucket IS NOT NULL")
+    rows = _in_plan(piece_sums(items, ranges, weight), ranges)
     return rows.groupBy("grp", "plan_id", "bucket").agg(F.sum(weight).alias("load"))
 
 
@@ -89,7 +111,8 @@ def plan_feasible(items: DataFrame, ranges: DataFrame, ratio: float = 1.3) -> Da
     totals = items.groupBy("grp").agg(F.sum("w").alias("total"))
     buckets = ranges.groupBy("grp", "plan_id").agg(F.count(F.lit(1)).alias("buckets"))
     limits = buckets.join(totals, "grp").withColumn("limit", F.col("total") / F.col("buckets") * ratio)
-    rows = assign_buckets(items, ranges).where("bucket IS NOT NULL").join(limits, ["grp", "plan_id"])
+    plans = _known(_plan_rows(ranges, "__plan").join(limits, ["grp", "plan_id"]))
+    rows = items.select("grp", "idx", "w").join(plans, "grp").withColumn("bucket", _bucket_of("idx", "__plan")).where("bucket IS NOT NULL")
     loads = rows.groupBy("grp", "plan_id", "bucket", "limit").agg(F.sum(F.least("w", "limit")).alias("load"))
     return loads.groupBy("grp", "plan_id").agg(F.bool_and(F.col("load") <= F.col("limit")).alias("feasible"))
 
