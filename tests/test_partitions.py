@@ -69,7 +69,7 @@ def test_transition_freq(spark):
 
 def test_items_are_not_shuffled_by_group(spark):
     ranges = spark.createDataFrame([("g", 1, 1, 0, 3), ("g", 1, 2, 4, 6), ("g", 2, 1, 0, 6)], "grp string, plan_id int, bucket int, start int, end int")
-    mine = items(spark)
+    mine = items(spark).withColumn("grp", F.when(F.col("idx") < 99, "g").otherwise("h"))
     for df in (N.piece_sums(mine, ranges, "w"), N.assign_buckets(mine, ranges), N.load_cap(mine, 2), N.plan_feasible(mine, ranges)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
