@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scale import parallelism
 from ..session import run_dir
 
 # A word of a text: a run of characters other than ASCII white space.
@@ -52,3 +53,17 @@ def stored(df: DataFrame) -> DataFrame:
 def fold_of(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a written table of keys and the number ``n`` of their rows; hot keys are not shuffled.
+
+    A key is hot if it has more than 1 / parallelism of the counted rows. There are
+    fewer such keys than parallel tasks, whatever the data, so they are broadcast.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    limit = total // parallelism(rows.sparkSession)
+    hot = counted.where(F.col("n") > limit).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    cold = marked.where("__hot is null").select(*rows.columns).join(counted.where(F.col("n") <= limit), keys)
+    return marked.where("__hot").drop("__hot").unionByName(cold)

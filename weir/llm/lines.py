@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from ..scale import dense_index
 from ..session import materialize
-from .common import with_columns
+from .common import join_counted, with_columns
 
 MIN_CHARS = 20
 DOC = ["no_id", "id", "th"]
@@ -117,8 +117,8 @@ def deleted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_cha
         every = every.union(more)
     every = materialize(every) if len(named) > 1 else every
     place = F.struct(*AT)
-    first = every.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "a", "b", "first")
-    later = every.join(first, ["size", "a", "b"]).where(place > F.col("first"))
+    first = every.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = join_counted(every, materialize(first), ["size", "a", "b"]).where(place > F.col("first"))
     gone = later.select(*DOC, F.explode(F.sequence(F.col("line"), F.col("line") + F.col("size") - 1)).alias("line")).distinct()
     return gone.join(rows.select(*AT, "at"), AT).select(*DOC, "at")
 
