@@ -1,7 +1,7 @@
 """I-Match fingerprints, with DataFrame functions only.
 
 The lexicon holds the terms whose inverse document frequency ln(N / df) lies in a
-band; df counts all documents. A document's terms are its distinct lower-case
+band; N and df count distinct texts, so copies weigh no more than one. A document's terms are its distinct lower-case
 words that are in the lexicon. A seeded hash deals the lexicon into ``SLOTS``
 random parts and cuts each part into nested random subsets, every one about half
 of the one before. In each part a document uses the smallest subset that still
@@ -10,8 +10,11 @@ texts alike are described by a few terms per slot, and an edit spoils the slots
 whose few terms it touches, not all of them.
 
 The likeness of two fingerprints is the share of equal slots among those that
-either one fills. A text without a term of the lexicon has one hash of the whole
-text instead, which is like nothing but itself.
+either one fills. A text whose terms of the lexicon fill fewer than ``FEW`` slots has
+the other slots filled by its terms outside the band: in each slot by the more
+common terms nearest to the band, by terms too rare for it only in slots without
+others. So edited copies stay alike if their group is so large that its terms leave the band. A
+text without words has one hash of the whole text, which is like nothing but itself.
 
 A term in the band has df >= N * exp(-high), and all df add up to N times the
 mean number of distinct words, so the lexicon has at most mean * exp(high)
@@ -34,6 +37,7 @@ from ..session import materialize
 
 LOW, HIGH = 3.0, 7.0
 SLOTS = 16
+FEW = 8
 SEED = 7
 NONE = "."
 KEY = ["kid", "kth"]
@@ -50,23 +54,49 @@ def exploded(df: DataFrame, text: str | Column) -> DataFrame:
     return words.select(*KEY, F.xxhash64("word").alias("term"))
 
 
+def weighed(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(term, tier): 0 for the terms with low <= ln(N / df) <= high, for more common ones how far they are from the band."""
+    by_text = docs.withColumn("th", F.xxhash64(text))
+    copies = by_text.groupBy("th").agg(F.count(F.lit(1)).alias("copies"))
+    n = copies.count()
+    again = broadcast_if_small(materialize(copies.where("copies > 1")))
+    # Each copy of a text counts as its share of one.
+    once = by_text.join(again, "th", "left").select(text, (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    words = once.select("share", F.explode(terms(text)).alias("word")).where("word <> ''").select(F.xxhash64("word").alias("term"), "share")
+    df = words.groupBy("term").agg(F.round(F.sum("share"), 6).alias("df"))
+    top = n * math.exp(-low)
+    tier = F.when(F.col("df") <= top, 0).otherwise(F.ceil(F.log(F.col("df") / top))).cast("int")
+    return df.where(F.col("df") >= n * math.exp(-high)).select("term", tier.alias("tier"))
+
+
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """Hashes of the terms with low <= ln(N / df) <= high."""
-    n = docs.count()
-    words = docs.select(F.explode(terms(text)).alias("word")).where("word <> ''").select(F.xxhash64("word").alias("term"))
-    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.where(F.col("df").between(n * math.exp(-high), n * math.exp(-low))).select("term")
+    return weighed(docs, text, low, high).where("tier = 0").select("term")
+
+
+def described_by(docs: DataFrame, text: str | Column, words: DataFrame, tiers: DataFrame) -> DataFrame:
+    """(kid, kth, slots) of the texts: by terms of the lexicon, and by terms outside it where those fill few slots."""
+    filled = slots(exploded(docs, text).join(words, "term", "left_semi").withColumn("tier", F.lit(0))).where(F.size("slots") >= FEW)
+    bare = exploded(docs.join(filled.select(*KEY), KEY, "left_anti"), text)
+    rare = F.lit(1 << 30)
+    return filled.unionByName(slots(bare.join(tiers, "term", "left").withColumn("tier", F.coalesce("tier", rare))))
+
+
+def vocabulary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lexicon, and the tiers of its terms and of those too common for it."""
+    found = materialize(weighed(rows))
+    return broadcast_if_small(found.where("tier = 0").select("term")), broadcast_if_small(found)
 
 
 def slots(found: DataFrame, seed: int = SEED, count: int = SLOTS) -> DataFrame:
-    """(kid, kth, slots): one hash per part of the lexicon from a document's terms (kid, kth, term)."""
+    """(kid, kth, slots): one hash per part of the lexicon from a document's terms (kid, kth, term, tier)."""
     r = F.xxhash64("term", F.lit(seed))
     rest = F.shiftrightunsigned(r, 8).bitwiseOR(F.lit(1 << 55))
     # Trailing zeros: the number of nested subsets that a term lies in.
     depth = F.bit_count(rest.bitwiseAND(-rest) - 1)
-    dealt = found.select(*KEY, "term", F.pmod(r, F.lit(count)).cast("int").alias("slot"), depth.alias("depth"))
-    subsets = dealt.groupBy(*KEY, "slot", "depth").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    hashed = subsets.select(*KEY, "slot", "depth", F.hash("terms", F.lit(seed)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"))
+    dealt = found.select(*KEY, "term", "tier", F.pmod(r, F.lit(count)).cast("int").alias("slot"), depth.alias("depth"))
+    subsets = dealt.groupBy(*KEY, "slot", "tier", "depth").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    hashed = subsets.select(*KEY, "slot", F.struct((-F.col("tier")).alias("near"), "depth").alias("depth"), F.hash("terms", F.lit(seed)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"))
     deepest = hashed.groupBy(*KEY, "slot").agg(F.max_by("hash", "depth").alias("hash"))
     return deepest.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("slot", "hash"))).alias("slots"))
 
@@ -97,8 +127,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text and fingerprint of each document."""
     rows = keyed(docs, id_col, text)
-    words = broadcast_if_small(materialize(lexicon(rows)))
-    filled = slots(exploded(rows.repartition(*[F.col(k) for k in KEY]), "text").join(words, "term", "left_semi"))
+    words, tiers = vocabulary(rows)
+    filled = described_by(rows.repartition(*[F.col(k) for k in KEY]), "text", words, tiers)
     return rows.join(filled, KEY, "left").select("doc_id", "text", printed(F.col("slots"), F.col("text")).alias("fingerprint"))
 
 
@@ -109,7 +139,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     descending order of ids; the first one follows the last one.
     """
     rows = keyed(docs, id_col, text)
-    words = broadcast_if_small(materialize(lexicon(rows)))
+    words, tiers = vocabulary(rows)
     # Who follows whom: over ids and lengths only.
     ids = rows.select("doc_id", *KEY, "n_chars").distinct()
     order = ["doc_id", *KEY]
@@ -126,7 +156,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     # Texts are shuffled once by key. Whatever reads them takes the same columns, so
     # that the terms, the heads and the edited texts share that one exchange.
     own = rows.select(*KEY, "text").repartition(*[F.col(k) for k in KEY])
-    filled = slots(exploded(own, "text").join(words, "term", "left_semi"))
+    filled = described_by(own, "text", words, tiers)
     n = F.length("text")
     described = own.groupBy(*KEY).agg(F.max("text").alias("text")).join(filled, KEY, "left")
     heads = described.join(asked, KEY).select(F.col("for_id").alias("kid"), F.col("for_th").alias("kth"), F.concat_ws("\n", printed(F.col("slots"), F.col("text")), F.left("text", F.col("take").cast("int"))).alias("sent"))
@@ -134,7 +164,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     heads = heads.repartition(*[F.col(k) for k in KEY])
     head = F.expr("substring(sent, instr(sent, '\n') + 1)")
     both = described.join(heads, KEY).withColumn("edited", F.concat(F.left("text", n - F.floor(n / 3).cast("int")), head))
-    changed = slots(exploded(both, F.col("edited")).join(words, "term", "left_semi")).withColumnRenamed("slots", "edited_slots")
+    changed = described_by(both.select(*KEY, "edited"), F.col("edited"), words, tiers).withColumnRenamed("slots", "edited_slots")
     prints = both.join(changed, KEY, "left").select(
         *KEY, n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.substring_index("sent", "\n", 1).alias("next_fingerprint"),
         printed(F.col("slots"), F.col("text")).alias("fingerprint"), printed(F.col("edited_slots"), F.col("edited")).alias("edited_fingerprint"),
