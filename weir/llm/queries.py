@@ -149,7 +149,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The limits, classes and slack are those of divergence.py.
 DIVERGENCE_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[ \\x09-\\x0D]+'), x -> x <> '') AS w FROM d),
+w AS (SELECT *, list_filter(string_split_regex(t, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
 c0 AS (SELECT *, regexp_replace(t, '[a-z]+', '', 'g') AS t1 FROM w),
 c1 AS (SELECT *, regexp_replace(t1, '[A-Z]+', '', 'g') AS t2 FROM c0),
 c2 AS (SELECT *, regexp_replace(t2, '[ \\x09-\\x0D]+', '', 'g') AS t3 FROM c1),
@@ -158,14 +158,15 @@ c4 AS (SELECT *, regexp_replace(t4, '[0-9]+', '', 'g') AS t5 FROM c3),
 c5 AS (SELECT *, regexp_replace(t5, '[\\x00-\\x7F]+', '', 'g') AS t6 FROM c4),
 f AS (SELECT rid, doc_id, lang, w, len(w) AS n, length(t) AS chars,
   [length(t) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4) - length(t5), length(t5) - length(t6), length(t6)] AS cls,
-  coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines FROM c5),
-win AS (SELECT rid, unnest(range(1, n - 1)) AS i, w FROM f WHERE n >= 3),
-win2 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS again FROM win),
+  coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines FROM c5),
+tok AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM f),
+win AS (SELECT rid, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM tok WINDOW o AS (PARTITION BY rid ORDER BY i)),
+win2 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, x, y, z) AS again FROM win WHERE z IS NOT NULL),
 rep AS (SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win2 WHERE again >= 2) GROUP BY 1),
 r AS (SELECT * FROM f WHERE n >= 50),
 lw AS (SELECT lang, count(*) AS texts, sum(n * floor(1e9 / n)) AS words FROM r GROUP BY 1 HAVING count(*) >= 20),
-sw AS (SELECT lang, key, sum(floor(1e9 / n)) AS weight FROM (SELECT lang, n, unnest(list_transform(w, x -> lower(x))) AS key FROM r) GROUP BY 1, 2),
+sw AS (SELECT lang, key, sum(floor(1e9 / n)) AS weight FROM (SELECT lang, n, unnest(list_transform(w, lambda x: lower(x))) AS key FROM r) GROUP BY 1, 2),
 top AS (SELECT sw.lang, key, weight / words AS q FROM sw JOIN lw ON sw.lang IS NOT DISTINCT FROM lw.lang QUALIFY row_number() OVER (PARTITION BY sw.lang ORDER BY weight DESC, key) <= 32),
 other AS (SELECT lang, greatest(0, 1 - sum(q)) AS q FROM top GROUP BY 1),
 sc AS (SELECT lang, k, sum(floor(cls[k] * 1e9 / chars)) AS weight FROM (SELECT lang, cls, chars, unnest(range(1, 8)) AS k FROM r) GROUP BY 1, 2),
@@ -173,11 +174,11 @@ qc AS (SELECT sc.lang, k, weight / sum(weight) OVER (PARTITION BY sc.lang) AS q
 hit AS (SELECT rid, lang, n, lower(x) AS key, count(*) AS c FROM (SELECT rid, lang, n, unnest(w) AS x FROM r) GROUP BY ALL),
 bins AS (SELECT h.rid, c / h.n AS p, q FROM hit h JOIN top ON h.lang IS NOT DISTINCT FROM top.lang AND h.key = top.key),
 mass AS (SELECT rid, sum(p) AS p, sum(q) AS q, sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) / 2 AS d FROM bins GROUP BY 1),
-jw AS (SELECT r.rid, r.n, coalesce(m.d, 0) + CASE WHEN 1 - coalesce(m.p, 0) > 1e-12 THEN
+jw AS (SELECT r.rid, coalesce(m.d, 0) + CASE WHEN 1 - coalesce(m.p, 0) > 1e-12 THEN
     ((1 - coalesce(m.p, 0)) * log2(2 * (1 - coalesce(m.p, 0)) / (1 - coalesce(m.p, 0) + o.q)) + CASE WHEN o.q > 0 THEN o.q * log2(2 * o.q / (1 - coalesce(m.p, 0) + o.q)) ELSE 0 END) / 2
     + greatest(0, 1 - coalesce(m.q, 0) - o.q) / 2 ELSE greatest(0, 1 - m.q) / 2 END AS d
   FROM r JOIN other o ON r.lang IS NOT DISTINCT FROM o.lang LEFT JOIN mass m USING (rid)),
-jc AS (SELECT rid, any_value(chars) AS chars, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS d FROM (
+jc AS (SELECT rid, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS d FROM (
   SELECT r.rid, r.chars, cls[k] / r.chars AS p, q FROM r JOIN qc ON r.lang IS NOT DISTINCT FROM qc.lang) GROUP BY 1),
 m AS (SELECT f.*, coalesce(n_repeat, 0) AS n_repeat, n < 50 OR 100 * coalesce(n_repeat, 0) > 50 * n AS base_failed,
   sqrt(greatest(0, jw.d - 3.0 * 32 / (8 * ln(2)) / greatest(n, 1))) AS dw, CASE WHEN f.chars >= 200 THEN sqrt(greatest(0, jc.d - 3.0 * 6 / (8 * ln(2)) / f.chars)) END AS dc
