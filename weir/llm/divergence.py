@@ -109,8 +109,11 @@ def class_divergence(counts: Column, shares: Column) -> Column:
     return let(total, lambda n: F.aggregate(F.zip_with(counts, shares, lambda c, q: part(c / F.greatest(n, F.lit(1)), q)), F.lit(0.0), lambda s, x: s + x))
 
 
-def word_divergence(words: Column, common: Column, shares: Column) -> Column:
-    """``shares[0]`` is the share of all other words, ``shares[k]`` that of the kth common word."""
+def word_divergence(words: Column, common: Column, longest: Column, shares: Column) -> Column:
+    """``shares[0]`` is the share of all other words, ``shares[k]`` that of the kth common word.
+
+    Words of more characters than the ``longest`` common one are not looked up: lower case never shortens a word.
+    """
     n = F.greatest(F.size(words), F.lit(1))
 
     def of_sorted(s: Column) -> Column:
@@ -128,21 +131,33 @@ def word_divergence(words: Column, common: Column, shares: Column) -> Column:
         both = F.aggregate(F.transform(ends, one), zero, lambda a, x: F.struct((a["d"] + x["d"]).alias("d"), (a["q"] + x["q"]).alias("q")))
         return let(both, lambda b: b["d"] + F.greatest(F.lit(0.0), 1 - b["q"]) / 2)
 
-    return let(F.sort_array(F.transform(words, lambda w: F.array_position(common, F.lower(w)))), of_sorted)
+    bin_of = lambda w: F.when(F.length(w) > longest, F.lit(0).cast("long")).otherwise(F.array_position(common, F.lower(w)))
+    return let(F.sort_array(F.transform(words, bin_of)), of_sorted)
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(ref_lang, class_shares, common, word_shares), a row per language with ``min_texts`` texts or more.
+    """(ref_lang, class_shares, common, longest, word_shares), a row per language with ``min_texts`` texts or more.
 
     One pass over the texts and one shuffle of partial sums by (language, word).
     """
-    rows = docs.select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("w", words_of(F.col("t"))).where(F.size("w") >= MIN_WORDS)
     share = lambda count, whole: F.floor(count * F.lit(float(UNIT)) / whole)
-    item = lambda kind, key, weight: F.struct(F.lit(kind).alias("kind"), key.alias("key"), weight.alias("weight"))
-    of_words = F.transform("w", lambda x: item("word", F.lower(x), share(F.lit(1), F.size("w"))))
-    of_classes = let(class_counts(F.col("t")), lambda c: F.transform(c, lambda x, i: item("class", i.cast("string"), share(x, F.length("t")))))
-    whole = F.array(item("texts", F.lit(""), F.lit(1).cast("long")), item("words", F.lit(""), F.size("w") * share(F.lit(1), F.size("w"))))
-    sums = rows.select("lang", F.explode(F.concat(of_words, of_classes, whole)).alias("x")).groupBy("lang", "x.kind", "x.key").agg(F.sum("x.weight").alias("weight"))
+    # Besides its words a text sends one mark a class and two for totals; no word begins with a blank.
+    marks = F.array(*[F.lit(f" {i}") for i in range(len(CLASSES) + 3)])
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def sent(w: Column) -> Column:
+        of_marks = let(class_counts(t), lambda c: F.transform(c, lambda x: share(x, F.length(t))))
+        totals = F.array(F.lit(1).cast("long"), F.size(w) * share(F.lit(1), F.size(w)))
+        return F.when(F.size(w) >= MIN_WORDS, F.struct(share(F.lit(1), F.size(w)).alias("unit"), F.concat(of_marks, totals).alias("other"), F.concat(w, marks).alias("w")))
+
+    # Outer, since the planner would compute the words once more to leave out empty lists.
+    rows = docs.select(F.col(lang).alias("lang"), let(words_of(t), sent).alias("s"))
+    each = rows.select("lang", F.col("s.unit").alias("unit"), F.col("s.other").alias("other"), F.explode_outer("s.w").alias("x")).where("x is not null")
+    weight = F.when(F.col("x").startswith(" "), F.get("other", F.substring("x", 2, 2).cast("int"))).otherwise(F.col("unit"))
+    by_key = each.groupBy("lang", F.lower("x").alias("x")).agg(F.sum(weight).alias("weight"))
+    at = F.when(F.col("x").startswith(" "), F.substring("x", 2, 2).cast("int"))
+    kind = F.when(at.isNull(), "word").when(at < len(CLASSES) + 1, "class").when(at == len(CLASSES) + 1, "texts").otherwise("words")
+    sums = by_key.select("lang", kind.alias("kind"), F.ltrim("x").alias("key"), "weight")
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("weight"), "key")
     ranked = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= common)
     # At most ``common`` rows of each kind are left per language.
@@ -155,19 +170,28 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     of_class = F.transform("classes", lambda c: c["weight"] / F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x["weight"]))
     top = F.transform("top", lambda w: w["weight"] / F.col("words"))
     other = F.greatest(F.lit(0.0), 1 - F.aggregate(top, F.lit(0.0), lambda s, x: s + x))
-    return by.select(F.col("lang").alias("ref_lang"), of_class.alias("class_shares"), F.transform("top", lambda w: w["key"]).alias("common"), F.concat(F.array(other), top).alias("word_shares"))
+    common_words = F.transform("top", lambda w: w["key"])
+    longest = F.array_max(F.transform(common_words, lambda w: F.length(w)))
+    return by.select(F.col("lang").alias("ref_lang"), of_class.alias("class_shares"), common_words.alias("common"), longest.alias("longest"), F.concat(F.array(other), top).alias("word_shares"))
 
 
 def measured(text: Column) -> Column:
-    """Struct of the base measures, the words and the counts of character classes of one text."""
+    """Struct of all measures of one text beside the columns of its language's reference."""
+    judges = F.col("class_shares").isNotNull()
+
     def of(w: Column) -> Column:
+        return let(class_counts(text), lambda c: together(w, c))
+
+    def together(w: Column, classes: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)
+        n, chars = F.size(w), F.length(text)
+        char_distance = F.when(judges & (n >= MIN_WORDS) & (chars >= MIN_CHARS), distance(class_divergence(classes, F.col("class_shares")), len(CLASSES) + 1, chars))
+        word_distance = F.when(judges & (n >= MIN_WORDS), distance(word_divergence(w, F.col("common"), F.col("longest"), F.col("word_shares")), COMMON + 1, n))
         return F.struct(
-            w.alias("words"), F.size(w).cast("long").alias("n_words"),
-            F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"),
-            (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            n.cast("long").alias("n_words"), (chars - classes[CLASSES.index(SPACES)]).cast("long").alias("word_chars"),
+            (chars - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            repeated_words(w).cast("long").alias("n_repeat_words"), class_counts(text).alias("classes"),
+            repeated_words(w).cast("long").alias("n_repeat_words"), char_distance.alias("char_distance"), word_distance.alias("word_distance"),
         )
 
     return let(words_of(text), of)
@@ -182,14 +206,10 @@ def judge(
     results = {*MEASURES, "base_failed", "char_distance", "word_distance", "kept"}
     own = [c for c in docs.columns if c.lower() not in results]
     # Names of our own under a prefix, so that no column of the table clashes with them.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(f"`{lang}`").alias("__lang"), measured(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__m"))
-    joined = rows.join(broadcast_if_small(refs), F.col("__lang").eqNullSafe(F.col("ref_lang")), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(f"`{lang}`").alias("__lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    joined = rows.join(broadcast_if_small(refs), F.col("__lang").eqNullSafe(F.col("ref_lang")), "left").select("__row", measured(F.col("__text")).alias("__m"))
     m = F.col("__m")
-    n, chars = m["n_words"], F.aggregate(m["classes"], F.lit(0), lambda s, c: s + c)
-    failed = (n < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * n)
-    judged = F.col("class_shares").isNotNull() & (n >= MIN_WORDS)
-    char_distance = F.when(judged & (chars >= MIN_CHARS), distance(class_divergence(m["classes"], F.col("class_shares")), len(CLASSES) + 1, chars))
-    word_distance = F.when(judged, distance(word_divergence(m["words"], F.col("common"), F.col("word_shares")), COMMON + 1, n))
-    scored = joined.select("__row", *[m[x].alias(x) for x in MEASURES], failed.alias("base_failed"), char_distance.alias("char_distance"), word_distance.alias("word_distance"))
-    within = F.coalesce(F.col("char_distance") <= max_chars, F.lit(True)) & F.coalesce(F.col("word_distance") <= max_words, F.lit(True))
-    return scored.select("__row.*", *MEASURES, "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & within).alias("kept"))
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    within = F.coalesce(m["char_distance"] <= max_chars, F.lit(True)) & F.coalesce(m["word_distance"] <= max_words, F.lit(True))
+    found = [m[x].alias(x) for x in [*MEASURES, "char_distance", "word_distance"]]
+    return joined.select("__row.*", *found, failed.alias("base_failed"), (~failed & within).alias("kept"))
