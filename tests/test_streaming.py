@@ -88,6 +88,47 @@ def test_changelog_replays_to_the_batch_state(spark, tmp_path):
     assert {p for p, on in now.items() if on} == {tuple(r.pattern) for r in want.collect()}
 
 
+def test_changelog_work_follows_the_batch(spark, tmp_path):
+    """Many patterns known, then a batch of one small basket: it looks at that basket's subsets only."""
+    queue, state = tmp_path / "q", str(tmp_path / "s")
+    many = [(i, True, [10 * i + k for k in range(6)]) for i in range(200)]
+    put(spark.createDataFrame(many, "seq bigint, is_add boolean, ids array<int>"), queue)
+    looked = {}
+    SP.maximal_changelog(stream(spark, queue), 1, state, looked.__setitem__)
+    put(spark.createDataFrame([(900, False, [30, 31, 32, 33, 34, 35]), (901, True, [7001, 7002])], "seq bigint, is_add boolean, ids array<int>"), queue)
+    log = SP.maximal_changelog(stream(spark, queue), 1, state, looked.__setitem__).where("batch_id = 1")
+    assert looked == {0: 200 * 63, 1: 63 + 3}
+    assert sorted((r.pattern, r.is_maximal, r.cnt) for r in log.collect()) == [([30, 31, 32, 33, 34, 35], False, 0), ([7001, 7002], True, 1)]
+    # Patterns whose count and references are 0 left the state.
+    left = SP.BucketTable(f"{state}/entries", SP.ENTRY, ["pattern"]).read(spark, 1)
+    assert left.count() == 199 * 63 + 3 and left.where("array_contains(pattern, 31)").count() == 0
+
+
+def test_changelog_at_every_batch(spark, tmp_path):
+    """Random additions and removals in small batches: counts, references and maximal patterns as recomputed, files bounded."""
+    df, t = basket_df(spark, 5, 60).withColumn("at", F.floor(F.col("seq") / 8)), 3
+    queue, state = tmp_path / "q", str(tmp_path / "s")
+    for at in range(10):
+        put(df.where(f"at = {at}").drop("at"), queue)
+    log = SP.maximal_changelog(stream(spark, queue, 1), t, state).collect()
+    now = {}
+    for n in range(10):
+        for r in log:
+            if r.batch_id == n:
+                assert now.get(tuple(r.pattern), False) != r.is_maximal
+                now[tuple(r.pattern)] = r.is_maximal
+        want = P.maximal_patterns(P.frequent_patterns(P.net_baskets(df.where(f"at <= {n}")), t)) if n % 3 == 0 or n == 9 else None
+        if want is not None:
+            assert {p for p, on in now.items() if on} == {tuple(r.pattern) for r in want.collect()}
+    entries = SP.BucketTable(f"{state}/entries", SP.ENTRY, ["pattern"]).read(spark, 9)
+    counts = {tuple(r.pattern): r.cnt for r in P.pattern_counts(P.net_baskets(df)).collect()}
+    assert {tuple(r.pattern): r.cnt for r in entries.where("cnt > 0").collect()} == counts
+    refs = {tuple(r.pattern): r.ref_count for r in P.reference_counts(P.frequent_patterns(P.net_baskets(df), t)).collect()}
+    assert {tuple(r.pattern): r.refs for r in entries.where(f"cnt >= {t}").collect()} == refs
+    manifests = list((tmp_path / "s" / "entries" / "manifest").glob("v=*"))
+    assert len(manifests) <= 3
+
+
 def test_outlier_streams(spark, tmp_path):
     rnd = random.Random(3)
     data = [(s, rnd.randint(0, 7), [rnd.random(), rnd.random()], s) for s in range(90)]

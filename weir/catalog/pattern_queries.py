@@ -80,11 +80,6 @@ def pattern_frequent(spark, sf):
     return _text(frequent(spark, sf), "cnt")
 
 
-@query("pattern_frequent_by_level", with_("SELECT array_to_string(pattern, ',') AS pattern, cnt FROM freq", "freq"))
-def pattern_frequent_by_level(spark, sf):
-    return _text(P.frequent_patterns(P.net_baskets(I.basket_ids(spark, sf)), I.pattern_threshold(spark, sf)), "cnt")
-
-
 @query("pattern_maximal", with_("SELECT array_to_string(pattern, ',') AS pattern, cnt FROM maxi", "maxi"))
 def pattern_maximal(spark, sf):
     return _text(P.maximal_patterns(frequent(spark, sf)), "cnt")
