@@ -140,9 +140,12 @@ def test_outlier_streams(spark, tmp_path):
     last = O.outlier_snapshot(O.project_vectors(O.latest_objects(df), axes), 0.2, 3)
     names = ["projection_id", "id", "neighbors", "is_outlier"]
     assert rows(snaps.where("batch_id = 2").select(names)) == rows(last.select(names))
+    # The log of flips, replayed, agrees with the grid of all flags at its last arrival.
     projected = O.project_vectors(stream(spark, tmp_path / "q", 1), axes, ["seq", "id"])
-    got = SO.per_arrival(projected, 8, 0.2, 3, str(tmp_path / "s2"))
-    assert rows(got) == rows(O.outliers_per_arrival(O.project_vectors(df, axes, ["seq", "id"]), 8, 0.2, 3))
+    log = SO.flips(projected, 0.2, 3, str(tmp_path / "s2"))
+    now = log.groupBy("projection_id", "obj_id").agg(F.max_by("is_outlier", "seq").alias("is_outlier"))
+    grid = O.outliers_per_arrival(O.project_vectors(df, axes, ["seq", "id"]), 8, 0.2, 3).where("seq = 89")
+    assert rows(now) == rows(grid.select("projection_id", "obj_id", "is_outlier"))
 
 
 def test_merge_flags(spark, tmp_path):

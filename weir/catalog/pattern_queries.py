@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions.arrays import joined
+from ..operators import flips as X
 from ..operators import outliers as O
 from ..operators import patterns as P
+from ..session import materialize
 from . import inputs as I
 from .registry import query
 from .sql import PICK, with_
@@ -140,16 +142,23 @@ def outlier_merge(spark, sf):
     return O.outlier_merge(flags, PROJECTIONS, ["time", "id"]).select("id", "is_outlier")
 
 
-@query("outlier_per_arrival", with_("""SELECT seq, id, CAST(projection_id AS INTEGER) AS projection_id, CAST(obj_id AS INTEGER) AS obj_id, neighbors, neighbors < 5 AS is_outlier FROM (
-  SELECT s.seq, s.id, s.projection_id, a.obj_id, count(*) FILTER (WHERE a.obj_id <> b.obj_id AND abs(a.v - b.v) <= 0.05) AS neighbors
-  FROM obs s JOIN st a ON s.seq = a.seq AND s.projection_id = a.projection_id JOIN st b ON s.seq = b.seq AND s.projection_id = b.projection_id
-  WHERE s.seq >= 40 GROUP BY ALL)""", "proj").replace("\nSELECT seq, id, CAST(projection_id", """,
-obs AS (SELECT seq, seq % 40 AS id, projection_id, pv FROM proj WHERE projection_id < 2),
+def moving(objects, count):
+    """Rows of the table as arrivals of a fifth as many objects, each with five places in turn."""
+    return objects.withColumn("id", F.col("seq") % F.lit(max(1, count // 5)))
+
+
+@query("outlier_per_arrival", with_("""SELECT seq, CAST(projection_id AS INTEGER) AS projection_id, obj_id, is_outlier FROM (
+  SELECT *, lag(is_outlier) OVER (PARTITION BY projection_id, obj_id ORDER BY seq) AS was FROM (
+    SELECT a.seq, a.projection_id, a.obj_id, count(*) FILTER (WHERE a.obj_id <> b.obj_id AND abs(a.v - b.v) <= 0.05) < 5 AS is_outlier
+    FROM st a JOIN st b ON a.seq = b.seq AND a.projection_id = b.projection_id GROUP BY ALL) JOIN complete USING (projection_id) WHERE seq >= complete)
+  WHERE was IS NULL OR was <> is_outlier""", "proj").replace("\nSELECT seq, CAST(projection_id", """,
+obs AS (SELECT seq, seq % (SELECT greatest(1, count(*) // 5) FROM embeddings) AS id, projection_id, pv FROM proj),
+complete AS (SELECT projection_id, max(seq) AS complete FROM (SELECT projection_id, id, min(seq) AS seq FROM obs GROUP BY ALL) GROUP BY 1),
 st AS (SELECT * FROM (SELECT o.seq, o.projection_id, i AS obj_id, last_value(CASE WHEN o.id = i THEN o.pv END IGNORE NULLS) OVER (
-  PARTITION BY o.projection_id, i ORDER BY o.seq) AS v FROM obs o, (SELECT unnest(range(0, 40)) AS i)) WHERE v IS NOT NULL)
-SELECT seq, id, CAST(projection_id""", 1))
+  PARTITION BY o.projection_id, i ORDER BY o.seq) AS v FROM obs o, (SELECT DISTINCT id AS i FROM obs)) WHERE v IS NOT NULL)
+SELECT seq, CAST(projection_id""", 1))
 def outlier_per_arrival(spark, sf):
-    """Forty objects, each row of the table a new position of one of them."""
-    objects = I.objects(spark, sf).withColumn("id", F.col("seq") % 40)
-    p = O.project_vectors(objects, O.walsh_rows(2, 64), ["seq", "id"])
-    return O.outliers_per_arrival(p, 40, 0.05, MIN_NEIGHBORS)
+    """All projections and all objects: the flags once every object is known, then each flag that flips."""
+    objects = I.objects(spark, sf)
+    p = O.project_vectors(moving(objects, objects.count()), O.walsh_rows(PROJECTIONS, 64), ["seq", "id"])
+    return X.since_complete(materialize(X.outlier_flips(p, 0.05, MIN_NEIGHBORS)))

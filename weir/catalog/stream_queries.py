@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.arrays import joined
+from ..operators import flips as X
 from ..operators import outliers as O
 from ..session import run_dir
 from ..streaming import outliers as SO
@@ -10,7 +11,7 @@ from ..streaming import patterns as SP
 from ..streaming import telemetry as SM
 from ..streaming.runs import parquet_stream
 from . import inputs as I
-from .pattern_queries import DISTANCE, MIN_NEIGHBORS, PROJECTIONS
+from .pattern_queries import DISTANCE, MIN_NEIGHBORS, PROJECTIONS, moving
 from .registry import ORACLES, query
 from .telemetry_queries import r4
 
@@ -55,9 +56,9 @@ def outlier_snapshot_stream(spark, sf):
 
 @query("outlier_per_arrival_stream", ORACLES["outlier_per_arrival"])
 def outlier_per_arrival_stream(spark, sf):
-    objects = object_stream(spark, sf).withColumn("id", F.col("seq") % 40)
-    projected = O.project_vectors(objects, O.walsh_rows(2, 64), ["seq", "id"])
-    return SO.per_arrival(projected, 40, 0.05, MIN_NEIGHBORS)
+    objects = moving(object_stream(spark, sf), I.objects(spark, sf).count())
+    projected = O.project_vectors(objects, O.walsh_rows(PROJECTIONS, 64), ["seq", "id"])
+    return X.since_complete(SO.flips(projected, 0.05, MIN_NEIGHBORS).drop("batch_id"))
 
 
 @query("cmv_window_stream", ORACLES["cmv_window"])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import flips as X
 from ..operators import outliers as O
-from ..session import run_dir
+from ..session import materialize, run_dir
+from .buckets import BucketTable
 from .runs import drain_batches, drain_updates
 from .versions import VersionedTable
 
@@ -25,9 +27,11 @@ VALUES = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("id", T.LongType()),
     T.StructField("projection_id", T.IntegerType()), T.StructField("projection_value", T.DoubleType()),
 ])
-FLAGS = T.StructType([
-    T.StructField("seq", T.LongType()), T.StructField("id", T.LongType()), T.StructField("projection_id", T.IntegerType()),
-    T.StructField("obj_id", T.IntegerType()), T.StructField("neighbors", T.LongType()), T.StructField("is_outlier", T.BooleanType()),
+PLACES = T.StructType([T.StructField("projection_id", T.IntegerType()), T.StructField("obj_id", T.LongType()), T.StructField("value", T.DoubleType())])
+COUNTED = T.StructType([*PLACES.fields, T.StructField("neighbors", T.LongType())])
+LOG = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("projection_id", T.IntegerType()), T.StructField("obj_id", T.LongType()),
+    T.StructField("neighbors", T.LongType()), T.StructField("is_outlier", T.BooleanType()),
 ])
 
 
@@ -47,28 +51,43 @@ def snapshots(objects: DataFrame, rows: Sequence[Sequence[float]], distance: flo
     return flags.all(spark)
 
 
-def per_arrival(projected: DataFrame, object_count: int, distance: float, min_neighbors: int, folder: str | None = None) -> DataFrame:
-    """Flags of all objects at every arrival of a projected stream.
+def flips(projected: DataFrame, distance: float, min_neighbors: int, folder: str | None = None, work: Callable[[int, int], None] | None = None) -> DataFrame:
+    """The log of flags that flip, over a projected stream: log columns and ``batch_id``.
 
-    Neighbour counts depend on the current positions only, so the state between
-    micro-batches is the last arrival of each object per projection.
+    The state knows where each object is, by object, and the neighbour count of each
+    object, by cells of the value axis. A batch reads and rewrites the buckets of its own
+    objects and of the cells around their old and new places. ``work`` is told the batch
+    id and the number of known objects that the batch looked at.
     """
     spark = projected.sparkSession
-    folder = folder or run_dir(spark, "per-arrival")
-    state = VersionedTable(f"{folder}/last", VALUES)
-    flags = VersionedTable(f"{folder}/flags", FLAGS)
+    folder = folder or run_dir(spark, "flips")
+    by_id = BucketTable(f"{folder}/places", PLACES, X.KEYS)
+    by_cell = BucketTable(f"{folder}/counts", COUNTED, ["projection_id", X.cell(F.col("value"), distance)])
+    log = VersionedTable(f"{folder}/log", LOG)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = state.read(batch.sparkSession, batch_id - 1).withColumn("new", F.lit(False))
-        both = before.unionByName(batch.select(*VALUES.names).withColumn("new", F.lit(True)))
-        arrivals = both.select("seq", "projection_id", "new").where("new").select("seq", "projection_id")
-        out = O.outliers_per_arrival(both.drop("new"), object_count, distance, min_neighbors)
-        flags.write(out.join(arrivals, ["seq", "projection_id"], "left_semi"), batch_id)
-        last = both.groupBy("projection_id", "id").agg(F.max_by(F.struct("seq", "projection_value"), "seq").alias("l"))
-        state.write(last.select("l.seq", "id", "projection_id", "l.projection_value"), batch_id)
+        session = batch.sparkSession
+        arrivals = materialize(batch.select(*VALUES.names))
+        ids = by_id.touched(arrivals.select(by_id.bucket_of("projection_id", "id")))
+        places = by_id.read(session, batch_id - 1, ids)
+        moved = X.moves(arrivals, places)
+        spots = moved.select("projection_id", F.explode(F.array("old", "new")).alias("x")).where("x is not null")
+        cells = materialize(spots.select("projection_id", F.explode(X.around(F.col("x"), distance)).alias("cell")).distinct())
+        only = by_cell.touched(cells.select(by_cell.bucket_of("projection_id", "cell")))
+        stored = by_cell.read(session, batch_id - 1, only)
+        own = [stored["projection_id"] == cells["projection_id"], X.cell(stored["value"], distance) == cells["cell"]]
+        known = materialize(stored.join(cells, own, "left_semi"))
+        if work is not None:
+            work(batch_id, known.count())
+        found, after = X.advance(known, moved, distance, min_neighbors)
+        log.write(found, batch_id)
+        rest = stored.join(cells, own, "left_anti")
+        by_cell.replace(rest.unionByName(after), only, batch_id)
+        last = moved.groupBy(*X.KEYS).agg(F.max_by("new", "seq").alias("value"))
+        by_id.replace(places.join(last, X.KEYS, "left_anti").unionByName(last), ids, batch_id)
 
     drain_batches(projected, write, folder, "append")
-    return flags.all(spark).drop("batch_id")
+    return log.all(spark)
 
 
 def merge_flags(flags: DataFrame, projections: int, event_time: str, delay: str, folder: str | None = None) -> DataFrame:
