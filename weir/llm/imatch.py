@@ -40,6 +40,8 @@ SLOTS = 16
 FEW = 8
 SEED = 7
 NONE = "."
+# Tier of the terms too rare for the band: behind all common ones.
+RARE = 1 << 30
 KEY = ["kid", "kth"]
 
 
@@ -74,36 +76,45 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     return weighed(docs, text, low, high).where("tier = 0").select("term")
 
 
-def described_by(docs: DataFrame, text: str | Column, words: DataFrame, tiers: DataFrame) -> DataFrame:
-    """(kid, kth, slots) of the texts: by terms of the lexicon, and by terms outside it where those fill few slots."""
-    filled = slots(exploded(docs, text).join(words, "term", "left_semi").withColumn("tier", F.lit(0))).where(F.size("slots") >= FEW)
-    bare = exploded(docs.join(filled.select(*KEY), KEY, "left_anti"), text)
-    rare = F.lit(1 << 30)
-    return filled.unionByName(slots(bare.join(tiers, "term", "left").withColumn("tier", F.coalesce("tier", rare))))
+def described_by(docs: DataFrame, text: str | Column, tiers: DataFrame) -> DataFrame:
+    """(kid, kth, slots) of the texts: by terms of the lexicon, and by terms outside it where those fill few slots.
+
+    Each text is exploded once and joined once, a row per term; a row per slot is left then.
+    """
+    return slots(exploded(docs, text).join(tiers, "term", "left").withColumn("tier", F.coalesce("tier", F.lit(RARE))))
 
 
-def vocabulary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lexicon, and the tiers of its terms and of those too common for it."""
-    found = materialize(weighed(rows))
-    return broadcast_if_small(found.where("tier = 0").select("term")), broadcast_if_small(found)
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """The tiers of the terms of the lexicon and of those too common for it."""
+    return broadcast_if_small(materialize(weighed(rows)))
 
 
 def slots(found: DataFrame, seed: int = SEED, count: int = SLOTS) -> DataFrame:
-    """(kid, kth, slots): one hash per part of the lexicon from a document's terms (kid, kth, term, tier)."""
+    """(kid, kth, slots): one hash per part of the lexicon from a document's terms (kid, kth, term, tier).
+
+    In each slot the nearest tier counts, and of it the smallest nested subset that holds a
+    term. If ``FEW`` slots or more have a term of tier 0, the others stay empty.
+    """
     r = F.xxhash64("term", F.lit(seed))
     rest = F.shiftrightunsigned(r, 8).bitwiseOR(F.lit(1 << 55))
     # Trailing zeros: the number of nested subsets that a term lies in.
     depth = F.bit_count(rest.bitwiseAND(-rest) - 1)
-    dealt = found.select(*KEY, "term", "tier", F.pmod(r, F.lit(count)).cast("int").alias("slot"), depth.alias("depth"))
-    subsets = dealt.groupBy(*KEY, "slot", "tier", "depth").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    hashed = subsets.select(*KEY, "slot", F.struct((-F.col("tier")).alias("near"), "depth").alias("depth"), F.hash("terms", F.lit(seed)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"))
-    deepest = hashed.groupBy(*KEY, "slot").agg(F.max_by("hash", "depth").alias("hash"))
-    return deepest.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("slot", "hash"))).alias("slots"))
+    order = F.col("tier").cast("long") * 64 - depth
+    dealt = found.select(*KEY, F.pmod(r, F.lit(count)).cast("int").alias("slot"), F.struct(order.alias("order"), F.col("term").alias("term")).alias("x"))
+    sorted_terms = dealt.groupBy(*KEY, "slot").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    first = F.col("x")[0]["order"]
+    chosen = F.transform(F.filter("x", lambda e: e["order"] == first), lambda e: e["term"])
+    hashed = sorted_terms.select(*KEY, "slot", (first <= 0).alias("near"), F.hash(chosen, F.lit(seed)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"))
+    each = [F.max(F.when(F.col("slot") == i, F.when(F.col("near"), F.col("hash")).otherwise(-1 - F.col("hash")))).alias(f"s{i}") for i in range(count)]
+    by_text = hashed.groupBy(*KEY).agg(F.sum(F.col("near").cast("int")).alias("filled"), *each)
+    # Terms outside the band are kept as negative numbers until it is known whether they are needed.
+    pick = lambda c: F.when(F.col(c) >= 0, F.col(c)).when(F.col("filled") < FEW, -1 - F.col(c))
+    return by_text.select(*KEY, F.array(*[pick(f"s{i}") for i in range(count)]).alias("slots"))
 
 
 def printed(filled: Column, text: Column, count: int = SLOTS) -> Column:
     """The fingerprint as text: a hash or a point per slot, or the hash of a text without terms."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.coalesce(F.lower(F.hex(filled[i])), F.lit(NONE)))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.coalesce(F.lower(F.hex(F.get(filled, i))), F.lit(NONE)))
     return F.when(filled.isNull(), F.concat(F.lit("text-"), F.sha2(text.cast("binary"), 256))).otherwise(F.array_join(parts, "-"))
 
 
@@ -127,8 +138,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text and fingerprint of each document."""
     rows = keyed(docs, id_col, text)
-    words, tiers = vocabulary(rows)
-    filled = described_by(rows.repartition(*[F.col(k) for k in KEY]), "text", words, tiers)
+    tiers = vocabulary(rows)
+    filled = described_by(rows.repartition(*[F.col(k) for k in KEY]), "text", tiers)
     return rows.join(filled, KEY, "left").select("doc_id", "text", printed(F.col("slots"), F.col("text")).alias("fingerprint"))
 
 
@@ -139,7 +150,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     descending order of ids; the first one follows the last one.
     """
     rows = keyed(docs, id_col, text)
-    words, tiers = vocabulary(rows)
+    tiers = vocabulary(rows)
     # Who follows whom: over ids and lengths only.
     ids = rows.select("doc_id", *KEY, "n_chars").distinct()
     order = ["doc_id", *KEY]
@@ -156,7 +167,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     # Texts are shuffled once by key. Whatever reads them takes the same columns, so
     # that the terms, the heads and the edited texts share that one exchange.
     own = rows.select(*KEY, "text").repartition(*[F.col(k) for k in KEY])
-    filled = described_by(own, "text", words, tiers)
+    filled = described_by(own, "text", tiers)
     n = F.length("text")
     described = own.groupBy(*KEY).agg(F.max("text").alias("text")).join(filled, KEY, "left")
     heads = described.join(asked, KEY).select(F.col("for_id").alias("kid"), F.col("for_th").alias("kth"), F.concat_ws("\n", printed(F.col("slots"), F.col("text")), F.left("text", F.col("take").cast("int"))).alias("sent"))
@@ -164,7 +175,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     heads = heads.repartition(*[F.col(k) for k in KEY])
     head = F.expr("substring(sent, instr(sent, '\n') + 1)")
     both = described.join(heads, KEY).withColumn("edited", F.concat(F.left("text", n - F.floor(n / 3).cast("int")), head))
-    changed = described_by(both.select(*KEY, "edited"), F.col("edited"), words, tiers).withColumnRenamed("slots", "edited_slots")
+    changed = described_by(both.select(*KEY, "edited"), F.col("edited"), tiers).withColumnRenamed("slots", "edited_slots")
     prints = both.join(changed, KEY, "left").select(
         *KEY, n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.substring_index("sent", "\n", 1).alias("next_fingerprint"),
         printed(F.col("slots"), F.col("text")).alias("fingerprint"), printed(F.col("edited_slots"), F.col("edited")).alias("edited_fingerprint"),
