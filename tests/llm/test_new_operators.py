@@ -108,11 +108,23 @@ def test_diagonal_walk_equals_all_overlaps():
         # The second list drops and adds a few ends; the last end is common.
         ea = grid
         eb = sorted({e for e in grid if rnd.random() < rnd.choice([0.6, 0.97])} | {rnd.randrange(1, grid[-1] + 1) for _ in range(rnd.randrange(3))} | {grid[-1]})
-        groups, la, lb = align.links(np.array(ea), np.array(eb))
-        assert list(zip(la, lb)) == brute_links(ea, eb)
-        single = [g for i, i2, j, j2 in groups for g in ([(i + k, i + k + 1, j + k, j + k + 1) for k in range(i2 - i)] if j2 < 0 else [(i, i2, j, j2)])]
-        ends = [e for e in ea if e in set(eb)]
-        assert [(ea[g[1] - 1], eb[g[3] - 1]) for g in single] == [(e, e) for e in ends]
+        stretches, groups, la, lb = align.links(ea, eb)
+        straight = [(i + k, j + k) for i, j, run in zip(*stretches) for k in range(run)]
+        assert sorted([*straight, *zip(la, lb)]) == brute_links(ea, eb)
+        # Every group begins where both sides ended together.
+        ends = [0, *[e for e in ea if e in set(eb)]][:-1]
+        assert sorted([*straight, *zip(*groups)]) == [(ea.index(e) + 1 if e else 0, eb.index(e) + 1 if e else 0) for e in ends]
+
+
+def test_both_engines_agree(small):
+    """The fast engine gives the ids of the library on all texts of a table and on odd ones."""
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{small.replace('0.001', '0.01')}/documents.parquet' WHERE text <> ''").fetchall()]
+    texts += ["  a  b ", "\n\n x", "\u00a0 nbsp", "▁▁ a▁b", "don't  STOP 12 345..", "漢字 🙂 é", "<s> </s> <unk> <0x0A>", "\u2028x", "x" * 3000, " ", "\t", "ab " * 2000]
+    own = aligner()
+    spaced = [" " + t for t in texts]
+    assert own.side_a(spaced) == [e.ids for e in own.a.encode_batch(spaced, add_special_tokens=False)]
 
 
 def test_alignment_of_a_corpus(spark):

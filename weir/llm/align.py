@@ -25,6 +25,7 @@ import functools
 import hashlib
 import json
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -36,52 +37,57 @@ from .common import stored, with_columns
 
 # Pairs whose counts travel to the tasks: at most 25 bytes each.
 FREQUENT = 65_536
-FIRST = 8
+FIRST = 4
+# Code points below this one belong to the same classes in all versions of Unicode in use.
+SETTLED = re.compile("[^\\x00-\\u024f]")
 # A pair of ids as one long: id of A times this, plus id of B.
 PAIR = 1 << 31
+# Fixed value: the pattern that cuts a text before the merges of the byte-level vocabulary.
+PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
-    """Groups and links of two strictly rising lists of ends with the same last end.
+def links(la: list[int], lb: list[int]) -> tuple[list[list[int]], list[list[int]], list[int], list[int]]:
+    """Stretches, groups and links of two strictly rising lists of ends with the same last end.
 
-    A group (i, i2, j, j2) holds tokens i..i2-1 of A and j..j2-1 of B; a group with
-    i2 - i == j2 - j > 1 whose links go straight is a stretch of one-to-one groups, marked
-    by j2 = -1. Links come as two lists of indices.
+    Stretches are three lists (i, j, run): ``run`` one-to-one groups from tokens i and j on. Irregular
+    groups are two lists (i, j) of their first tokens. Links of irregular groups are two lists of indices.
     """
-    a, b = ends_a.astype("<i4").tobytes(), ends_b.astype("<i4").tobytes()
-    la, lb = ends_a.tolist(), ends_b.tolist()
     na, nb = len(la), len(lb)
-    groups, of_a, of_b = [], [], []
+    at_a, at_b, runs, first_a, first_b, of_a, of_b = [], [], [], [], [], [], []
     i = j = 0
-    while i < na and j < nb:
-        run, window = 0, FIRST
-        while True:
-            size = min(window, na - i - run, nb - j - run)
-            s, t = 4 * (i + run), 4 * (j + run)
-            if a[s : s + 4 * size] != b[t : t + 4 * size]:
-                low, high = 0, size  # the first difference lies in [low, high)
-                while high - low > 1:
+    while i < na:
+        s, t, window = i, j, FIRST
+        while la[i] == lb[j]:
+            a, b = la[i : i + window], lb[j : j + window]
+            if a != b:  # the first difference lies in [low, high)
+                low, high = 0, min(len(a), len(b))
+                while high - low > FIRST:
                     mid = (low + high) // 2
-                    if a[s + 4 * low : s + 4 * mid] == b[t + 4 * low : t + 4 * mid]:
+                    if a[low:mid] == b[low:mid]:
                         low = mid
                     else:
                         high = mid
-                run += low
+                while low < high and a[low] == b[low]:
+                    low += 1
+                i += low
+                j += low
                 break
-            run += size
-            if size < window:
+            i += len(a)
+            j += len(a)
+            if len(a) < window or i >= na or j >= nb:
                 break
             window *= 2
-        if run:
-            groups.append((i, i + run, j, -1))
-            of_a.extend(range(i, i + run))
-            of_b.extend(range(j, j + run))
-            i, j = i + run, j + run
-            continue
-        first_a, first_b = i, j
+        if i > s:
+            at_a.append(s)
+            at_b.append(t)
+            runs.append(i - s)
+        if i >= na or j >= nb:
+            break
+        x, y = la[i], lb[j]
+        first_a.append(i)
+        first_b.append(j)
         of_a.append(i)
         of_b.append(j)
-        x, y = la[i], lb[j]
         while x != y:
             if x < y:
                 i += 1
@@ -91,9 +97,9 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[tuple[int, int,
                 y = lb[j]
             of_a.append(i)
             of_b.append(j)
-        i, j = i + 1, j + 1
-        groups.append((first_a, i, first_b, j))
-    return groups, of_a, of_b
+        i += 1
+        j += 1
+    return [at_a, at_b, runs], [first_a, first_b], of_a, of_b
 
 
 class Aligner:
@@ -101,6 +107,7 @@ class Aligner:
 
     def __init__(self, spec_a: str, spec_b: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -112,6 +119,7 @@ class Aligner:
         byte_of = {c: i for i, c in enumerate(byte_symbols())}
         data = json.loads(spec_a)
         names = [b""] * self.a.get_vocab_size()
+        ranked = set(data["model"]["vocab"].values()) - {x["id"] for x in data.get("added_tokens", [])}
         for token, at in data["model"]["vocab"].items():
             if all(c in byte_of for c in token):
                 names[at] = bytes(byte_of[c] for c in token)
@@ -121,20 +129,25 @@ class Aligner:
         b = self.b
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # Both engines give the same ids; the second is several times as fast. It has other Unicode tables.
+        self.fast = tiktoken.Encoding("a", pat_str=PRETOKENS, mergeable_ranks={x: i for i, x in enumerate(names) if x and i in ranked}, special_tokens={})
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.text_a, self.text_b = list(map(str, range(len(names)))), list(map(str, range(len(pieces))))
+        self.entries = [f"{i}{end}" for i in range(len(names)) for end in ",|"] + [f"{i}{end}" for i in range(len(pieces)) for end in ",;"]
+
+    def side_a(self, spaced: list[str]) -> list[list[int]]:
+        slow = [t for t in spaced if SETTLED.search(t)]
+        rest = iter([e.ids for e in self.a.encode_batch_fast(slow, add_special_tokens=False)] if slow else [])
+        return [next(rest) if SETTLED.search(t) else self.fast.encode_ordinary(t) for t in spaced]
 
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides; none where either side does not give back the text."""
         spaced = [" " + t for t in texts]
-        side_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        side_b = self.b.encode(texts, num_threads=1) if texts else []
         out = []
-        for s, ia, ib in zip(spaced, side_a, side_b):
+        for s, ia, ib in zip(spaced, self.side_a(spaced), self.b.encode(texts, num_threads=1) if texts else []):
             raw = s.encode()
             same = b"".join(map(self.bytes_a.__getitem__, ia)) == raw and b"".join(map(self.bytes_b.__getitem__, ib)) == raw
-            out.append((ia, ib) if same else ([], []))
+            out.append((ia, ib) if same and len(s) > 1 else ([], []))
         return out
 
     def row(self, ia: list[int], ib: list[int]) -> tuple:
@@ -142,19 +155,27 @@ class Aligner:
         if not ia:
             return 0, 0, 0, 0, "", [], []
         wa, wb = np.array(ia, np.int64), np.array(ib, np.int64)
-        groups, of_a, of_b = links(np.cumsum(self.size_a[wa]), np.cumsum(self.size_b[wb]))
-        ta, tb = [self.text_a[i] for i in ia], [self.text_b[i] for i in ib]
-        printed, count = [], 0
-        for i, i2, j, j2 in groups:
-            if j2 < 0:
-                printed += [f"{x}|{y}" for x, y in zip(ta[i:i2], tb[j : j + i2 - i])]
-                count += i2 - i
-            else:
-                printed.append(",".join(ta[i:i2]) + "|" + ",".join(tb[j:j2]))
-                count += 1
-        digest = hashlib.sha256(";".join(printed).encode()).hexdigest()
-        pairs, often = np.unique(wa[of_a] * PAIR + wb[of_b], return_counts=True)
-        return len(ia), len(ib), count, len(of_a), digest, pairs, often
+        stretches, irregular, of_a, of_b = links(np.cumsum(self.size_a[wa]).tolist(), np.cumsum(self.size_b[wb]).tolist())
+        at, to, run = (np.array(x, np.int64) for x in stretches)
+        # Places inside the stretches: 0, 1, 2, ... from each start.
+        place = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+        one_a, one_b = np.repeat(at, run) + place, np.repeat(to, run) + place
+        link_a, link_b = np.concatenate([one_a, np.array(of_a, np.int64)]), np.concatenate([one_b, np.array(of_b, np.int64)])
+        pairs, often = np.unique(wa[link_a] * PAIR + wb[link_b], return_counts=True)
+        digest = hashlib.sha256(self.printed(wa, wb, np.concatenate([one_a, irregular[0]]), np.concatenate([one_b, irregular[1]]))).hexdigest()
+        return len(ia), len(ib), len(one_a) + len(irregular[0]), len(link_a), digest, pairs, often
+
+    def printed(self, wa: np.ndarray, wb: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> bytes:
+        """The groups as ``a1,a2|b1;a3|b2,b3``, given the first tokens of each group."""
+        group = []
+        for ids, first in ((wa, first_a), (wb, first_b)):
+            mark = np.zeros(len(ids) + 1, np.int64)
+            mark[first.astype(np.int64)] = 1
+            group.append((np.cumsum(mark[:-1]), np.append(mark[1:-1], 1)))  # number of the group, whether the token ends it
+        # Tokens of A before those of B in each group; each is printed with what follows it.
+        order = np.argsort(np.concatenate([2 * group[0][0], 2 * group[1][0] + 1]), kind="stable")
+        entry = np.concatenate([2 * wa + group[0][1], 2 * (wb + len(self.bytes_a)) + group[1][1]])[order]
+        return "".join(map(self.entries.__getitem__, entry.tolist()))[:-1].encode()
 
 
 @functools.lru_cache(maxsize=2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(spark: SparkSession, *frames: DataFrame | None) -> None:
+    """Remove the files of ``stored`` results that nothing will read again."""
+    folders = {f.rsplit("/", 1)[0] for df in frames if df is not None for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of plans that are out of use, as it does whenever the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold_of(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
