@@ -198,14 +198,23 @@ def test_pair_latency(spark, tmp_path):
     assert rows(got) == rows(M.pair_latency(starts, outcomes))
 
 
-def test_latest_metric(spark, tmp_path):
+def test_latest_counters_as_of_every_batch(spark, tmp_path):
+    """Maps merge key by key over stored ones, late points do not win, reads as of a batch agree, files stay bounded."""
     rnd = random.Random(6)
-    data = [(rnd.choice("ab"), rnd.choice("xy"), i, rnd.random()) for i in range(60)]
-    df = spark.createDataFrame(data, "task string, name string, ts bigint, value double")
-    put(df.where("ts % 2 = 0"), tmp_path / "q")
-    put(df.where("ts % 2 = 1"), tmp_path / "q")
-    got = SM.latest_metric(stream(spark, tmp_path / "q", 1), ["task", "name"], ["ts"], str(tmp_path / "s"))
-    assert rows(got) == rows(M.latest_metric(df, ["task", "name"], ["ts"]))
+    schema = "task string, name string, ts bigint, value map<string,string>"
+    parts = [[(rnd.choice("abc"), rnd.choice("xy"), rnd.randrange(1000), {rnd.choice("pqr"): str(rnd.random()) for _ in range(2)}) for _ in range(12)] for _ in range(9)]
+    for part in parts:
+        put(spark.createDataFrame(part, schema), tmp_path / "q")
+    store = SM.latest_counters(stream(spark, tmp_path / "q", 1), ["task", "name"], "ts", str(tmp_path / "s"), keep=4)
+    assert SM.last_batch(spark, str(tmp_path / "s")) == 8
+    for n in (5, 7, 8):
+        want = {}
+        for task, name, ts, value in (r for part in parts[: n + 1] for r in part):
+            for k, v in value.items():
+                want[task, name, k] = max(want.get((task, name, k), (-1, "")), (ts, v))
+        assert {(r.task, r.name, r.counter): (r.ts, r.value) for r in store.read(spark, n).collect()} == want
+    versions = list((tmp_path / "s" / "store").glob("data/v=*/bucket=*/*.parquet"))
+    assert len(list((tmp_path / "s" / "store" / "manifest").glob("v=*"))) == 4 and len(versions) <= 6 * 4
 
 
 def test_folder_table_and_empty_source(spark, tmp_path):

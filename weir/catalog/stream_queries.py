@@ -9,11 +9,13 @@ from ..session import run_dir
 from ..streaming import outliers as SO
 from ..streaming import patterns as SP
 from ..streaming import telemetry as SM
-from ..streaming.runs import parquet_stream
+from ..sources import metric_lines as L
+from ..streaming.pending import correlate_with_tries, merge_on_last
+from ..streaming.runs import drain_to_parquet, parquet_stream
 from . import inputs as I
-from .pattern_queries import DISTANCE, MIN_NEIGHBORS, PROJECTIONS, moving
+from .pattern_queries import DISTANCE, MIN_NEIGHBORS, PROJECTIONS, moving, projected
 from .registry import ORACLES, query
-from .telemetry_queries import r4
+from .telemetry_queries import counters, r4
 
 
 def basket_queue(spark, sf, folder, is_add):
@@ -67,3 +69,43 @@ def cmv_window_stream(spark, sf):
     keys = ["component", "task", "stream"]
     w = SM.drain_cmv_windows(stream, "1 day", "2 days", keys)
     return w.select("window_start", *keys, "cnt", *r4("total", "total_2"))
+
+
+@query("latest_metric_stream", ORACLES["latest_metric"])
+def latest_metric_stream(spark, sf):
+    """The points as a queue of eight files, one batch each."""
+    queue, folder = run_dir(spark, "points"), run_dir(spark, "latest")
+    L.select_metrics(I.metric_points(spark, sf), list(L.RENAMES)).repartition(8).write.parquet(queue)
+    store = SM.latest_counters(parquet_stream(spark, queue, "*.parquet", 1), ["component", "task", "name"], "cycle", folder)
+    return counters(store.read(spark, SM.last_batch(spark, folder)))
+
+
+@query("outlier_merge_stream", ORACLES["outlier_merge"])
+def outlier_merge_stream(spark, sf):
+    """Each object goes out with the last of its projections; the queue is not in any order."""
+    queue = run_dir(spark, "flags")
+    flags = O.outlier_snapshot(projected(spark, sf), DISTANCE, MIN_NEIGHBORS)
+    timed = flags.select("time", "id", "projection_id", "is_outlier", F.timestamp_millis(F.col("time") + I.DAY_MS).alias("ts"))
+    timed.repartition(4, "projection_id").write.parquet(queue)
+    merged = merge_on_last(parquet_stream(spark, queue, "*.parquet", 1), PROJECTIONS, "ts", "1 day", ["time", "id"], "1 day")
+    return drain_to_parquet(merged, "merge").select("id", "is_outlier")
+
+
+@query("trace_correlate_stream", ORACLES["trace_correlate"])
+def trace_correlate_stream(spark, sf):
+    """Completions and executions as two queues; a last row of each, long after, lets the last tries run out."""
+    done, ran, folder = run_dir(spark, "done"), run_dir(spark, "ran"), run_dir(spark, "tries")
+    at = lambda ms: F.timestamp_millis(F.col(ms))
+    c = I.completions(spark, sf).select("trace", (F.col("end") - F.col("start")).alias("latency"), at("end").alias("done_at"))
+    e = I.some_executions(spark, sf).select("trace", "component", "arrival", "departure", at("departure").alias("ran_at"))
+    c.write.parquet(done)
+    e.write.parquet(ran)
+
+    def run():
+        joined = correlate_with_tries(parquet_stream(spark, done, "*.parquet"), parquet_stream(spark, ran, "*.parquet"), delay="36500 days")
+        return drain_to_parquet(joined, "tries", folder)
+
+    run()
+    far = F.lit("2200-01-01").cast("timestamp")
+    spark.range(1).select(F.lit(-1).cast("bigint").alias("trace"), F.lit(0).cast("bigint").alias("latency"), far.alias("done_at")).write.mode("append").parquet(done)
+    return run().where("trace >= 0").drop("tries")

@@ -59,12 +59,27 @@ def encode_metric_line(spark, sf):
     return back.select("layout", "component", "task", "time", "name", F.get_json_object("v", "$.sampleCount").alias("samples"))
 
 
-@query("latest_metric", with_("""SELECT component, task, name, max_by(samples, cycle) AS value, max(cycle) AS cycle FROM sel
-  WHERE name LIKE '\\_\\_%' ESCAPE '\\' GROUP BY ALL""", "sel"))
+LATEST = with_("""SELECT component, task, name, counter, max_by(cnt, cycle) AS cnt, round(max_by(total, cycle) + 3e-7, 4) AS total, max(cycle) AS cycle FROM (
+  SELECT component, task, cycle, CASE WHEN component = 'signup' THEN 'complete-latency' ELSE 'execute' END AS name, stream AS counter,
+    CAST(CASE WHEN silent THEN 0 ELSE n END AS BIGINT) AS cnt, CASE WHEN silent THEN 0 ELSE t END AS total FROM rep WHERE task <> 3
+  UNION ALL SELECT component, task, cycle, '__sendqueue', unnest(['sampleCount', 'totalQueueLen', 'totalCount']), CAST(unnest([n, t, n * 20]) AS BIGINT), NULL
+    FROM rmap WHERE task <> 3 AND day % 8 <> 0
+  UNION ALL SELECT component, task, cycle, '__receive', unnest(['sampleCount', 'totalQueueLen', 'totalCount']), CAST(unnest(CASE WHEN idle THEN [0, 0, 0] ELSE [n, n * 3 + task, n * 4] END) AS BIGINT), NULL
+    FROM rmap WHERE task <> 3 AND day % 9 <> 0) GROUP BY ALL""", "rep", "rmap")
+
+
+def counters(latest):
+    """Counts and totals of stored values: ``count,total,square`` of process maps, plain numbers of queues."""
+    parts = F.split("value", ",")
+    total = F.round(F.try_element_at(parts, F.lit(2)).cast("double") + 3e-7, 4)
+    return latest.select("component", "task", "name", "counter", parts[0].cast("bigint").alias("cnt"), total.alias("total"), "cycle")
+
+
+@query("latest_metric", LATEST)
 def latest_metric(spark, sf):
-    points = L.select_metrics(I.metric_points(spark, sf), ["__sendqueue", "__receive"])
-    points = points.withColumn("value", F.col("value")["sampleCount"])
-    return M.latest_metric(points, ["component", "task", "name"], ["cycle"])
+    """All names and all their counters."""
+    points = L.select_metrics(I.metric_points(spark, sf), list(L.RENAMES))
+    return counters(M.latest_counters(points, ["component", "task", "name"], "cycle"))
 
 
 @query("trace_id", with_("SELECT seq, trace || '-' || arrival AS trace_id, CAST(seq AS VARCHAR) AS counter_id FROM exe", "exe"))

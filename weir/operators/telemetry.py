@@ -188,6 +188,18 @@ def latest_metric(points: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
 
 
+def latest_counters(points: DataFrame, keys: Sequence[str], order: str, value: str = "value") -> DataFrame:
+    """(keys, counter, value, order): the last value of every map key, so that maps merge key by key over older ones."""
+    each = points.select(*keys, order, F.explode(value).alias("counter", "value"))
+    return newest(each, [*keys, "counter"], order)
+
+
+def newest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The row with the highest ``order`` per key; of equal ones the greater value, so replays agree."""
+    best = rows.groupBy(*keys).agg(F.max(F.struct(order, "value")).alias("__v"))
+    return best.select(*keys, "__v.value", f"__v.{order}")
+
+
 # --- traces -----------------------------------------------------------------
 
 

@@ -5,12 +5,12 @@ new rows of the buckets it touched to ``data/v=n/bucket=b`` and a manifest that
 for every bucket, the batch that wrote it last. A manifest has one row a bucket,
 whatever the size of the state, so the driver may hold it. A batch that is repeated
 after a failure starts from manifest n - 1 and overwrites its own files. Files that
-neither of the last two manifests names are removed, so their number stays bounded.
+none of the last ``keep`` manifests names are removed, manifests with them, so their number stays bounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +21,8 @@ MANIFEST = "bucket int, version int"
 
 
 class BucketTable:
-    def __init__(self, folder: str, schema: T.StructType, keys: Sequence[str | Column], buckets: int = BUCKETS) -> None:
-        self.folder, self.schema, self.keys, self.buckets = folder, schema, list(keys), buckets
+    def __init__(self, folder: str, schema: T.StructType, keys: Sequence[str | Column], buckets: int = BUCKETS, keep: int = 2) -> None:
+        self.folder, self.schema, self.keys, self.buckets, self.keep = folder, schema, list(keys), buckets, keep
 
     def bucket_of(self, *keys: str | Column) -> Column:
         return F.pmod(F.xxhash64(*(keys or self.keys)), F.lit(self.buckets)).cast("int")
@@ -59,24 +59,17 @@ class BucketTable:
         self._clean(spark, version, named)
 
     def _clean(self, spark: SparkSession, version: int, named: dict[int, int]) -> None:
-        """Drop what neither this manifest nor the one before names."""
-        kept = {*named.items(), *self.versions(spark, version - 1).items()}
-        for b, v in set(self.versions(spark, version - 2).items()) - kept:
+        """Drop what none of the last ``keep`` manifests names."""
+        gone = version - self.keep
+        if gone < 0:
+            return
+        kept = {*named.items()}.union(*[self.versions(spark, v).items() for v in range(gone + 1, version)])
+        for b, v in set(self.versions(spark, gone).items()) - kept:
             _fs(spark, f"{self.folder}/data/v={v}/bucket={b}", "delete", True)
-        if version >= 3:
-            _fs(spark, f"{self.folder}/manifest/v={version - 3}", "delete", True)
+        _fs(spark, f"{self.folder}/manifest/v={gone}", "delete", True)
 
 
 def _fs(spark: SparkSession, path: str, call: str, *more):
     """A file system call on a path, in whatever file system it names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return getattr(place.getFileSystem(spark._jsc.hadoopConfiguration()), call)(place, *more)
-
-
-def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
-    """Full outer join of keyed rows; each value from its old and its new one (null where there is none)."""
-    o = old.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in values if c in old.columns])
-    n = new.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in values if c in new.columns])
-    both = o.join(n, list(keys), "full_outer")
-    side = lambda p, c: F.col(f"__{p}_{c}") if f"__{p}_{c}" in both.columns else F.lit(None)
-    return both.select(*keys, *[fn(side("old", c), side("new", c)).alias(c) for c, fn in values.items()])

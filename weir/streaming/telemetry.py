@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cmv
 from ..operators import telemetry as M
-from .runs import drain_to_parquet, drain_updates
+from ..session import materialize, run_dir
+from .buckets import BucketTable
+from .runs import drain_batches, drain_to_parquet, drain_updates
 
 # Fixed value: three tries of 60 seconds each.
 TRACE_WAIT = "180 seconds"
@@ -54,9 +57,33 @@ def pair_latency(starts: DataFrame, outcomes: DataFrame, limit: str = "1 hour",
     return joined.select("trace", latency.cast("bigint").alias("latency"))
 
 
-def latest_metric(points: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str | None = None) -> DataFrame:
-    """Keyed latest-value store; the state store merges every new point."""
-    return drain_updates(M.latest_metric(points, keys, order), keys, "latest", folder)
+def latest_counters(points: DataFrame, keys: Sequence[str], order: str, folder: str | None = None, keep: int = 2) -> BucketTable:
+    """Store of the last value of every counter: map values merge key by key over the stored ones.
+
+    A micro-batch is reduced to its own last values first; then only the buckets of its
+    keys are read, merged and rewritten. The store can be read as of any of the last
+    ``keep`` batches.
+    """
+    spark = points.sparkSession
+    folder = folder or run_dir(spark, "latest")
+    types = {f.name: f.dataType for f in points.schema}
+    schema = T.StructType([*[T.StructField(k, types[k]) for k in keys], T.StructField("counter", T.StringType()), T.StructField("value", T.StringType()), T.StructField(order, types[order])])
+    store = BucketTable(f"{folder}/store", schema, list(keys), keep=keep)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = materialize(M.latest_counters(batch, keys, order))
+        only = store.touched(new.select(store.bucket_of()))
+        old = store.read(batch.sparkSession, batch_id - 1, only)
+        store.replace(M.newest(old.unionByName(new), [*keys, "counter"], order), only, batch_id)
+
+    drain_batches(points, write, folder, "append")
+    return store
+
+
+def last_batch(spark: SparkSession, folder: str) -> int:
+    """The number of the last batch that a run in this folder committed, -1 if none."""
+    done = [f for f in spark.sparkContext.wholeTextFiles(f"{folder}/offsets/commits/[0-9]*").keys().collect()]
+    return max((int(f.rsplit("/", 1)[1]) for f in done), default=-1)
 
 
 def drain(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
