@@ -81,3 +81,11 @@ def test_numeric_and_transition_lines(spark):
         assert "repeated transition 1 2" in str(e)
     else:
         raise AssertionError("a repeated pair must fail")
+
+
+def test_bad_lines_are_set_aside(spark):
+    lines = spark.createDataFrame([("1.5",), ("abc",), ("",), (None,), ("a:b:0.5",), ("a:c:x",), ("a:b",)], "text string")
+    assert [r.w for r in R.parse_numeric_lines(lines).collect()] == [1.5]
+    assert sorted(r.text for r in R.bad_numeric_lines(lines).collect()) == ["a:b", "a:b:0.5", "a:c:x", "abc"]
+    assert [tuple(r) for r in R.parse_transitions(lines).collect()] == [("a", "b", 0.5)]
+    assert R.bad_transitions(lines).count() == 6

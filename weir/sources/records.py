@@ -69,16 +69,30 @@ def batch_by_time(df: DataFrame, width_ms: int, time_ms: str = "time") -> DataFr
 
 
 def parse_numeric_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """Trimmed non-blank lines as doubles."""
-    kept = df.where(F.trim(text) != "")
-    return kept.withColumn("w", F.trim(text).cast("double")).drop(text)
+    """Trimmed non-blank lines as doubles; lines that are no number are left to ``bad_numeric_lines``."""
+    return df.withColumn("w", F.trim(text).try_cast("double")).where("w is not null").drop(text)
 
 
-def parse_transitions(df: DataFrame, text: str = "text") -> DataFrame:
-    """``from:to:p`` -> (from_state, to_state, p); a repeated pair is an error."""
+def bad_numeric_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """Non-blank lines that are no number."""
+    return df.where((F.trim(text) != "") & F.trim(text).try_cast("double").isNull())
+
+
+def _transition(text: str) -> list:
+    """The three fields of a line, null where there is none or the last one is no number."""
     parts = F.split(text, ":")
-    rows = df.select(parts[0].alias("from_state"), parts[1].alias("to_state"), parts[2].cast("double").alias("p"))
+    return [F.get(parts, 0).alias("from_state"), F.get(parts, 1).alias("to_state"), F.get(parts, 2).try_cast("double").alias("p")]
+
+
+def parse_transitions(df: DataFrame, text: str = "text") -> DataFrame:
+    """``from:to:p`` -> (from_state, to_state, p); a repeated pair is an error, other lines are left to ``bad_transitions``."""
+    rows = df.select(*_transition(text)).where("p is not null")
     once = rows.groupBy("from_state", "to_state").agg(F.max("p").alias("p"), F.count(F.lit(1)).alias("n"))
     repeated = F.concat_ws(" ", F.lit("repeated transition"), "from_state", "to_state")
     p = F.when(F.col("n") == 1, F.col("p")).otherwise(F.raise_error(repeated).cast("double"))
     return once.select("from_state", "to_state", p.alias("p"))
+
+
+def bad_transitions(df: DataFrame, text: str = "text") -> DataFrame:
+    """Lines without three fields or without a number in the last one."""
+    return df.where(_transition(text)[2].isNull())
