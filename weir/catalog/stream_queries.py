@@ -10,11 +10,13 @@ from ..streaming import outliers as SO
 from ..streaming import patterns as SP
 from ..streaming import telemetry as SM
 from ..sources import metric_lines as L
+from ..streaming.fanout import fan_out, parquet_writer
 from ..streaming.pending import correlate_with_tries, merge_on_last
 from ..streaming.runs import drain_to_parquet, parquet_stream
 from . import inputs as I
 from .pattern_queries import DISTANCE, MIN_NEIGHBORS, PROJECTIONS, moving, projected
 from .registry import ORACLES, query
+from .sql import with_
 from .telemetry_queries import counters, r4
 
 
@@ -109,3 +111,18 @@ def trace_correlate_stream(spark, sf):
     far = F.lit("2200-01-01").cast("timestamp")
     spark.range(1).select(F.lit(-1).cast("bigint").alias("trace"), F.lit(0).cast("bigint").alias("latency"), far.alias("done_at")).write.mode("append").parquet(done)
     return run().where("trace >= 0").drop("tries")
+
+
+@query("consumer_fanout", with_("""SELECT 'all' AS sink, component, task, count(*) AS n, round(sum(ms), 2) AS total FROM samples GROUP BY ALL
+  UNION ALL SELECT 'slow', component, task, count(*), round(sum(ms), 2) FROM samples WHERE ms > 100 GROUP BY ALL""", "samples"))
+def consumer_fanout(spark, sf):
+    """The samples as a stream with two consumers: one keeps sums per task and batch, the other the slow samples."""
+    folder = run_dir(spark, "fanout")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("ms").alias("total")]
+    writers = {
+        "all": parquet_writer(f"{folder}/all", lambda rows: rows.groupBy("component", "task").agg(*sums)),
+        "slow": parquet_writer(f"{folder}/slow", lambda rows: rows.where("ms > 100").select("component", "task", F.lit(1).cast("bigint").alias("n"), F.col("ms").alias("total"))),
+    }
+    fan_out(I.sample_columns(parquet_stream(spark, sf, "events.parquet")), writers, f"{folder}/run")
+    both = [spark.read.schema("component string, task int, n long, total double").parquet(f"{folder}/{s}").withColumn("sink", F.lit(s)) for s in writers]
+    return both[0].unionByName(both[1]).groupBy("sink", "component", "task").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
