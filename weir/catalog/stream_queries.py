@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from ..functions.arrays import joined
 from ..operators import flips as X
 from ..operators import outliers as O
+from ..operators import telemetry as M
 from ..session import run_dir
 from ..streaming import outliers as SO
 from ..streaming import patterns as SP
 from ..streaming import telemetry as SM
 from ..sources import metric_lines as L
+from ..streaming.carry import carry_forward
 from ..streaming.fanout import fan_out, parquet_writer
 from ..streaming.pending import correlate_with_tries, merge_on_last
 from ..streaming.runs import drain_to_parquet, parquet_stream
@@ -126,3 +128,24 @@ def consumer_fanout(spark, sf):
     fan_out(I.sample_columns(parquet_stream(spark, sf, "events.parquet")), writers, f"{folder}/run")
     both = [spark.read.schema("component string, task int, n long, total double").parquet(f"{folder}/{s}").withColumn("sink", F.lit(s)) for s in writers]
     return both[0].unionByName(both[1]).groupBy("sink", "component", "task").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
+
+
+@query("snapshot_ffill_stream", ORACLES["snapshot_ffill"])
+def snapshot_ffill_stream(spark, sf):
+    """Daily reports in three runs, each of which continues the one before; a last row closes the last day."""
+    queue, folder = run_dir(spark, "reports"), run_dir(spark, "carry")
+    reports = I.parsed_window(spark, sf).withColumnRenamed("time", "cycle")
+    first, last = reports.agg(F.min("cycle"), F.max("cycle")).first()
+    days = (last - first) // I.DAY_MS + 1
+    cuts = [first + days * k // 3 * I.DAY_MS for k in range(3)] + [last + I.DAY_MS]
+    for low, high in zip(cuts, cuts[1:]):
+        part = reports.where((F.col("cycle") >= low) & (F.col("cycle") < high))
+        if high > last:
+            close = reports.limit(1).withColumn("cycle", F.lit(high).cast("bigint"))
+            part = part.unionByName(close)
+        part.write.mode("append").parquet(queue)
+        carried = drain_to_parquet(carry_forward(parquet_stream(spark, queue, "*.parquet"), ["component", "task", "type"], width=I.DAY_MS), "carry", folder)
+    # The batch form knows only days on which some task reports.
+    carried = carried.join(reports.select("cycle").distinct(), "cycle", "left_semi")
+    rows = M.component_rollup(M.measurements(carried, ["component", "task", "type", "cycle", "reported_cycle"]), ["cycle"])
+    return rows.select("component", "type", "cycle", "metric", "stream", "cnt", *r4("total", "total_2"), "empty")
