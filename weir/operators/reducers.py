@@ -62,21 +62,23 @@ def reduce_by_key(df: DataFrame, keys: Sequence[str], value: str, reducer: Reduc
     parts = T.StructType([*slim.schema.fields[:-1], T.StructField(STATE, T.BinaryType()), T.StructField(PART, T.LongType())])
     width = max(1, math.isqrt(parallelism(df.sparkSession)))
 
+    def whole(states: pd.Series) -> bytes:
+        state = reducer.init()
+        for part in states:
+            state = reducer.merge(state, part)
+        return state
+
     @F.pandas_udf(T.BinaryType())
     def merged(states: pd.Series) -> bytes:
-        whole = reducer.init()
-        for state in states:
-            whole = reducer.merge(whole, state)
-        return whole
+        return whole(states)
 
     @F.pandas_udf(reducer.out_type)
-    def finished(states: pd.Series) -> pd.Series:
-        return pd.Series([reducer.finish(s) for s in states], dtype=object)
+    def finished(states: pd.Series) -> object:
+        return reducer.finish(whole(states))
 
     held = slim.mapInArrow(_partial(reducer, len(names), width), parts)
-    for group in ([*inner, PART], inner):
-        held = held.groupBy(*group).agg(merged(STATE).alias(STATE))
-    return held.select(*[F.col(i).alias(k) for k, i in zip(names, inner)], finished(STATE).alias(out))
+    held = held.groupBy(*inner, PART).agg(merged(STATE).alias(STATE)).groupBy(*inner).agg(finished(STATE).alias(STATE))
+    return held.select(*[F.col(i).alias(k) for k, i in zip(names, inner)], F.col(STATE).alias(out))
 
 
 def _partial(reducer: Reducer, n_keys: int, width: int):
