@@ -34,7 +34,7 @@ WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^" + SPACE + "\\p{L}\\p{N}]
 END = "</w>"
 
 # Bounds of the per-worker caches: entries of a generation, and characters of one entry.
-CACHE_ENTRIES = 60_000
+CACHE_ENTRIES = 120_000
 CACHE_CHARS = 48
 # Last symbols of words live in a plane of their own, so each symbol is one character.
 LAST = 0x10000
@@ -70,7 +70,7 @@ class Recent:
 class Bpe:
     """Encoder and decoder of one vocabulary file with word ends."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, entries: int = CACHE_ENTRIES):
         import ahocorasick
         import regex
 
@@ -92,7 +92,7 @@ class Bpe:
         self.right = none + [age[b] for _, b in merges]
         self.count = len(names)
         self.pairs = {age[a] * self.count + age[b]: self.single + i for i, (a, b) in enumerate(merges)}
-        self.known = Recent(2 * CACHE_ENTRIES)
+        self.known = Recent(entries)
 
         ok = [True] * self.count
         self.automaton = ahocorasick.Automaton()
@@ -113,8 +113,8 @@ class Bpe:
         self.names = [""] * (max([*vocab.values(), *self.specials.values()]) + 1)
         for name, i in [*vocab.items(), *self.specials.items()]:
             self.names[i] = name
-        self.of_word = Recent(2 * CACHE_ENTRIES)
-        self.of_chunk = Recent(2 * CACHE_ENTRIES)
+        self.of_word = Recent(entries)
+        self.of_chunk = Recent(entries)
 
     def _grows(self, t: int) -> bool:
         return self._fits(self.left[t], self.right[t], t)
@@ -186,6 +186,7 @@ class Bpe:
                 chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
             # Letters fall to lower case one by one, so a last sigma is not a special case.
             low = chunk.lower()
+            low = chunk if low == chunk else low  # one string in both caches
             got = self._word(low) if low.isalpha() else b"".join(map(self._word, self.words.findall(low)))
             if len(chunk) <= CACHE_CHARS:
                 self.of_chunk.put(chunk, got)
@@ -215,8 +216,8 @@ class Bpe:
 
 
 @functools.lru_cache(maxsize=2)
-def _loaded(spec: str) -> Bpe:
-    bpe = Bpe(spec)
+def _loaded(spec: str, entries: int = CACHE_ENTRIES) -> Bpe:
+    bpe = Bpe(spec, entries)
     gc.freeze()  # the tables stay; the collector need not visit them
     return bpe
 
@@ -233,13 +234,16 @@ def _shared(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """Add the packed ids of each whole text: little-endian unsigned 32-bit integers."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Add the packed ids of each whole text: little-endian unsigned 32-bit integers.
+
+    ``entries`` bounds each cache of a worker; fewer take less memory and more time, ids are the same.
+    """
     spec = _shared(df, path)
 
     @F.pandas_udf(T.BinaryType())
     def run(texts: pd.Series) -> pd.Series:
-        bpe = _loaded(spec.value)
+        bpe = _loaded(spec.value, entries)
         return pd.Series([bpe.encode(t) for t in texts], dtype=object)
 
     return with_columns(df, **{ids: run(F.col(text))})
