@@ -11,6 +11,7 @@ from ..streaming import outliers as SO
 from ..streaming import patterns as SP
 from ..streaming import telemetry as SM
 from ..sources import metric_lines as L
+from ..sources.queue import Queue
 from ..streaming.carry import carry_forward
 from ..streaming.fanout import fan_out, parquet_writer
 from ..streaming.pending import correlate_with_tries, merge_on_last
@@ -149,3 +150,27 @@ def snapshot_ffill_stream(spark, sf):
     carried = carried.join(reports.select("cycle").distinct(), "cycle", "left_semi")
     rows = M.component_rollup(M.measurements(carried, ["component", "task", "type", "cycle", "reported_cycle"]), ["cycle"])
     return rows.select("component", "type", "cycle", "metric", "stream", "cnt", *r4("total", "total_2"), "empty")
+
+
+QUEUE = """(SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey % 2, o_orderkey) - 1 AS "offset" FROM orders)"""
+
+
+def order_queue(spark, sf):
+    """The orders as a queue: one append of the even keys, then one of the odd keys."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
+    queue = Queue(spark, run_dir(spark, "queue"), orders.schema, size=4096)
+    for odd in (0, 1):
+        queue.append(orders.where(F.col("o_orderkey") % 2 == odd), ["o_orderkey"])
+    return queue
+
+
+@query("queue_stream", f'SELECT "offset", o_orderkey, o_totalprice FROM {QUEUE}')
+def queue_stream(spark, sf):
+    """All rows of the queue as a stream, two segments a batch."""
+    return drain_to_parquet(order_queue(spark, sf).stream(8192), "queue-run")
+
+
+@query("queue_range", f'SELECT "offset", o_orderkey, o_totalprice FROM {QUEUE} WHERE "offset" >= 6000 AND "offset" < 11000')
+def queue_range(spark, sf):
+    """A range of 5,000 rows, which opens its segments only."""
+    return order_queue(spark, sf).scan(6000, 5000)
