@@ -62,6 +62,17 @@ def test_dense_index(spark):
     assert {r.seq: r.i for r in dense_int_index(gaps, "seq", "i", width=10).collect()} == {-3: 0, 5: 1, 100: 2}
 
 
+def test_sparse_ids_are_cut_by_rank(spark):
+    ids = sorted(random.Random(3).sample(range(-(10**17), 10**17), 500))
+    df = spark.createDataFrame([(i,) for i in ids], "seq bigint").repartition(3)
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    by_rank = dense_int_index(df, "seq", "i", most_blocks=100)
+    # Blocks are the partitions of a range shuffle that is written once; they aren't computed from ids.
+    assert "/ 1000000" in plan(dense_int_index(df, "seq", "i")) and "/ 1000000" not in plan(by_rank)
+    assert {r.seq: r.i for r in by_rank.collect()} == {x: i for i, x in enumerate(ids)}
+    assert dense_int_index(df.limit(0), "seq", "i", most_blocks=0).count() == 0
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = queries()["scan_range"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(event_id,100)" in plan and "LessThan(event_id,5100)" in plan

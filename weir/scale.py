@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .session import materialize
 
 DEFAULT_WIDTH = 1_000_000
+# Blocks of ids whose summaries may pass one window.
+MOST_BLOCKS = 1 << 16
 BLOCK = "__block"
 
 
@@ -200,7 +202,14 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     return numbered.withColumn(out, F.col(out) - 1)
 
 
-def dense_int_index(df: DataFrame, seq: str, out: str, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """0-based dense position by a unique integer column; needs no checkpoint."""
+def dense_int_index(df: DataFrame, seq: str, out: str, width: int = DEFAULT_WIDTH, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """0-based dense position by a unique integer column.
+
+    Needs no checkpoint while the ids, measured first, have few blocks. Many sparse ids (hashes, times)
+    would be blocks of their own, so they are cut by rank: one block per shuffle partition.
+    """
+    low, high, rows = df.agg(F.min(seq), F.max(seq), F.count(seq)).first()
+    if rows and min(high // width - low // width + 1, rows) > most_blocks:
+        return dense_index(df, [seq], out)
     numbered = ordered_scan(df, [], [seq], [RowNumber(out)], width)
     return numbered.withColumn(out, F.col(out) - 1)
