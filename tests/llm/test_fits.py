@@ -80,3 +80,23 @@ def test_reruns_of_a_mix_agree(spark):
     rows = [(k, " ".join("w" for _ in range(rnd.randrange(40))), rnd.choice(["a", "b", "c", None])) for k in range(200)]
     first, second = (sorted(map(str, mixing.taken(*mixing.mix(docs(spark, r).repartition(n))).collect())) for r, n in ((rows, 3), (rows[::-1], 7)))
     assert first == second
+
+
+def test_pieces_of_a_mix_cover_what_is_taken(spark):
+    """Pieces of a document add up to its taken words, shards are full, and reruns place each piece alike."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 40)), "ab"[i % 2] if i % 5 else None) for i in range(400)], "doc_id long, text string, source string")
+
+    def run():
+        return {r["doc_id"]: (r["taken"], r["size"], [tuple(p) for p in r["pieces"]]) for r in mixing.taken(*mixing.mix(docs, block_words=16, shard_blocks=8)).collect()}
+
+    got = run()
+    assert len(got) == 400 and got == run()
+    for taken, size, pieces in got.values():
+        assert taken == sum(p[4] - p[3] for p in pieces) and all(0 <= p[3] < p[4] <= size for p in pieces)
+    words = {}
+    for _, _, pieces in got.values():
+        for shard, _, _, low, high in pieces:
+            words[shard] = words.get(shard, 0) + high - low
+    # A shard has 8 blocks at most; only the last block of a source can be shorter.
+    assert sorted(words) == list(range(len(words))) and max(words.values()) <= 8 * 16
+    assert len({(p[0], p[1]) for _, _, ps in got.values() for p in ps}) == sum(len(ps) for _, _, ps in got.values())

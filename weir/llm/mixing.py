@@ -182,9 +182,14 @@ def mix(
 
 
 def taken(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Each document with the words the mix takes of it."""
-    sums = pieces.groupBy("source_no", "nth").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    return placed.join(sums, ["source_no", "nth"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    """Each document with the words the mix takes of it, and its ``pieces`` by shard and position.
+
+    A document has a piece per round and block it reaches into; one that is not taken has none.
+    """
+    piece = F.struct("shard", "position", "round", "word_from", "word_to")
+    sums = pieces.groupBy("source_no", "nth").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+    joined = placed.join(sums, ["source_no", "nth"], "left")
+    return joined.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).withColumn("pieces", F.coalesce("pieces", F.array().cast(sums.schema["pieces"].dataType)))
 
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:

@@ -28,9 +28,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("op1_mixing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document; ``pieces`` has shard:position:word_from:word_to of each piece, comma-joined."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     placed, pieces = mixing.mix(docs)
-    return mixing.taken(placed, pieces).select("doc_id", "size", "source_size", "target", "taken", "source")
+    parts = F.transform("pieces", lambda p: F.concat_ws(":", *[p[c].cast("string") for c in ("shard", "position", "word_from", "word_to")]))
+    return mixing.taken(placed, pieces).select("doc_id", "size", "source_size", "target", "taken", "source", F.array_join(parts, ",").alias("pieces"))
 
 
 @query("op2_bpe")
