@@ -78,3 +78,29 @@ def test_since_complete(spark):
         last = {r[2]: r[4] for r in own if r[0] <= full}
         want += [(full, p, j, f) for j, f in last.items()] + [(r[0], p, r[2], r[4]) for r in own if r[0] > full]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("case", [(7, 90, 12, None, 0.2, 3), (8, 90, 9, [0.0, 0.1, 0.1, 0.3, 0.5], 0.1, 2), (9, 60, 30, None, 0.3, 5)])
+def test_short_blocks_equal_the_definition(spark, case):
+    """Blocks of two arrivals: stays are cut, settled and counted over the tree."""
+    seed, n, objects, spots, distance, least = case
+    rows = walk(seed, n, objects, spots)
+    got = X.outlier_flips(spark.createDataFrame(rows, SCHEMA), distance, least, leaf=2)
+    assert sorted(map(tuple, got.collect())) == sorted(replay(rows, distance, least))
+
+
+def test_crowds_form_no_pairs(spark, monkeypatch):
+    """Of many objects in one window only the first arrivals are looked at move by move."""
+    rows = [(s, s % 100, 0, (s * 37 % 101) / 1000) for s in range(500)]
+    seen = []
+    whole = X.open_pieces
+
+    def counting(*args):
+        found, size = whole(*args)
+        seen.append((found.count(), size))
+        return found, size
+
+    monkeypatch.setattr(X, "open_pieces", counting)
+    got = X.outlier_flips(spark.createDataFrame(rows, SCHEMA), 0.2, 3, leaf=4)
+    assert sorted(map(tuple, got.collect())) == sorted(replay(rows, 0.2, 3))
+    assert seen[0][0] <= 16 and seen[0][1] == 4
