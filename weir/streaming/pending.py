@@ -40,7 +40,7 @@ def merge_on_last(flags: DataFrame, projections: int, event_time: str, expiry: s
         seen, last = set(seen), 0
         for part in parts:
             seen.update(part["projection_id"].tolist())
-            flag = flag or bool(part["is_outlier"].any())
+            flag = flag or any(f for f in part["is_outlier"].tolist() if f is not None)
             last = max(last, int(part["__at"].max()))
         if len(seen) >= projections:
             if state.exists:
@@ -56,6 +56,7 @@ def merge_on_last(flags: DataFrame, projections: int, event_time: str, expiry: s
 
 TRIES, STEP = 3, "60 seconds"
 TRACED = "trace bigint, latency bigint, tries int, component string, arrival bigint, departure bigint"
+NAMES = ["trace", "latency", "tries", "component", "arrival", "departure"]
 WAITING = "latency bigint, tries int, due bigint, component array<string>, arrival array<bigint>, departure array<bigint>"
 
 
@@ -94,19 +95,23 @@ def correlate_with_tries(
         else:
             fresh, last = False, 0
             for part in parts:
+                # Few rows a trace: lists are several times as fast as selections of a frame.
+                done_rows, at = part["done"].tolist(), part["__at"].tolist()
                 last = max(last, int(part["__at"].max()))
-                own = part[~part["done"]]
                 for values, name in zip(held, ("component", "arrival", "departure")):
-                    values.extend(own[name].tolist())
-                ends = part[part["done"]]
-                if latency is None and len(ends):
-                    latency, due, fresh = int(ends["latency"].iloc[0]), int(ends["__at"].iloc[0]) + wait, True
+                    values.extend(v for v, d in zip(part[name].tolist(), done_rows) if not d)
+                if latency is None and True in done_rows:
+                    end = done_rows.index(True)
+                    latency, due, fresh = int(part["latency"].tolist()[end]), int(at[end]) + wait, True
             ready = fresh and bool(held[0])
         if ready:
             if state.exists:
                 state.remove()
-            rows = list(zip(*held)) or [(None, None, None)]
-            yield pd.DataFrame([(*key, latency, count, *r) for r in rows], columns=["trace", "latency", "tries", "component", "arrival", "departure"]).astype({"latency": "Int64", "arrival": "Int64", "departure": "Int64"})
+            held = held if held[0] else [[None]] * 3
+            rows = len(held[0])
+            whole = lambda xs: [None if x is None or x != x else int(x) for x in xs]
+            found = [[key[0]] * rows, [latency] * rows, [count] * rows, held[0], whole(held[1]), whole(held[2])]
+            yield pd.DataFrame(dict(zip(NAMES, found)), dtype=object)
             return
         state.update((latency, count, due, *[[int(v) if i else v for v in x] for i, x in enumerate(held)]))
         state.setTimeoutTimestamp(max(due if latency is not None else last + keep, now + 1))
