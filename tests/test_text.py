@@ -89,3 +89,15 @@ def test_bad_lines_are_set_aside(spark):
     assert sorted(r.text for r in R.bad_numeric_lines(lines).collect()) == ["a:b", "a:b:0.5", "a:c:x", "abc"]
     assert [tuple(r) for r in R.parse_transitions(lines).collect()] == [("a", "b", 0.5)]
     assert R.bad_transitions(lines).count() == 6
+
+
+def test_running_count_moves_rows_once(spark):
+    """Equal words over several blocks, null among them; no join with the blocks' counts."""
+    rows = [(seq, pos, w) for seq in (-1, 0, 1, 2, 5, 6, 9) for pos, w in enumerate(["a", "b", "a", None])]
+    got = X.running_count(spark.createDataFrame(rows, "seq bigint, pos int, word string"), ["seq", "pos"], width=2)
+    seen, want = {}, []
+    for seq, pos, w in rows:
+        seen[w] = seen.get(w, 0) + 1
+        want.append((seq, pos, w, seen[w]))
+    assert got.columns == ["seq", "pos", "word", "cnt"] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert "Join" not in got._jdf.queryExecution().toString()

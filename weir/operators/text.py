@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..scale import RowNumber, ordered_scan
+from ..scale import numbered_scan
 
 # Rows of one word in one block stay below DOCS_PER_BLOCK times the words of a text.
-DOCS_PER_BLOCK = 2048
+DOCS_PER_BLOCK = 16384
 
 
 def tokenize(df: DataFrame, text: str, keep: Sequence[str] = (), pattern: str = T.WHITESPACE) -> DataFrame:
@@ -35,7 +35,7 @@ def word_count(tokens: DataFrame, word: str = "word") -> DataFrame:
 
 def running_count(tokens: DataFrame, order: Sequence[str], word: str = "word", width: int = DOCS_PER_BLOCK) -> DataFrame:
     """Each arrival with the count of its word so far; ``order[0]`` is the text number."""
-    return ordered_scan(tokens, [word], order, [RowNumber("cnt")], width)
+    return numbered_scan(tokens, [word], order, "cnt", width)
 
 
 def top_keywords(texts: DataFrame, text: str, stop: DataFrame, k: int) -> DataFrame:

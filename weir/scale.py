@@ -138,6 +138,26 @@ def range_blocks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return materialize(blocked)
 
 
+def numbered_scan(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """As ``ordered_scan`` with a ``RowNumber``, for results as large as the input.
+
+    The rows in earlier blocks come as a first row of each block, so that the rows themselves move and are
+    sorted once; joined to the summaries of large tables they would move again.
+    """
+    df = df.withColumn(BLOCK, int_block(order[0], width))
+    keys = [*group, BLOCK]
+    before = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    carries = sums.select(*keys, F.sum("__n").over(before).alias("__n")).where("__n is not null")
+    rest = [c for c in df.columns if c not in keys]
+    kinds = {f.name: f.dataType for f in df.schema}
+    first = carries.select(*keys, *[F.lit(None).cast(kinds[c]).alias(c) for c in rest], "__n", F.lit(False).alias("__row"))
+    rows = df.select(*keys, *rest, F.lit(1).cast("bigint").alias("__n"), F.lit(True).alias("__row")).union(first)
+    inside = Window.partitionBy(*keys).orderBy("__row", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = rows.withColumn(out, F.sum("__n").over(inside)).where("__row")
+    return numbered.select(*[F.col(c) for c in df.columns if c != BLOCK], out)
+
+
 def _scan(df: DataFrame, group: Sequence[str], order: Sequence[str], specs: Sequence[Spec]) -> DataFrame:
     inside = Window.partitionBy(*group, BLOCK).orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
