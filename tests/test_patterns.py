@@ -113,3 +113,13 @@ def test_level_miner_on_wide_baskets(spark):
     net = spark.createDataFrame(rows, "ids array<int>, n bigint")
     got = {tuple(r.pattern): r.cnt for r in P.frequent_patterns(net, 30).collect()}
     assert got == {p: 40 for k in (1, 2, 3) for p in combinations((1, 2, 3), k)}
+
+
+def test_wide_baskets_alone_take_the_long_path(spark):
+    """Of two widths, each basket gives its subsets; the narrow one is not cut in chunks."""
+    df = spark.createDataFrame([(1, list(range(12))), (2, [3, 5]), (3, None), (4, [])], "k int, ids array<int>")
+    rows = P.expand_subsets(df, keep=["k"])
+    got = Counter((r.k, tuple(r.pattern)) for r in rows.collect())
+    want = Counter((k, c) for k, ids in ((1, range(12)), (2, (3, 5))) for n in range(1, 13) for c in combinations(ids, n))
+    assert got == want and "Union" in rows._jdf.queryExecution().toString()
+    assert "lambda" not in df.select(A.joined("ids"))._jdf.queryExecution().toString()

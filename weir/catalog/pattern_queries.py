@@ -6,6 +6,7 @@ from ..functions.arrays import joined
 from ..operators import flips as X
 from ..operators import outliers as O
 from ..operators import patterns as P
+from ..scale import parallelism
 from ..session import materialize
 from . import inputs as I
 from .registry import query
@@ -18,6 +19,11 @@ def _text(df, *cols):
     return df.select(joined("pattern").alias("pattern"), *cols)
 
 
+def written(baskets):
+    """Baskets written once, in as many parts as their subsets need."""
+    return materialize(baskets.repartition(parallelism(baskets.sparkSession)))
+
+
 def frequent(spark, sf):
     return P.frequent_patterns(P.net_baskets(I.basket_ids(spark, sf)), I.pattern_threshold(spark, sf))
 
@@ -50,12 +56,12 @@ SUBSETS = "SELECT seq, array_to_string({0}, ',') AS pattern FROM (SELECT seq, id
 
 @query("subsets_all", with_(SUBSETS.format(PICK, 1), "adds"))
 def subsets_all(spark, sf):
-    return _text(P.expand_subsets(I.add_ids(spark, sf), "ids", ["seq"]), "seq")
+    return _text(P.expand_subsets(written(I.add_ids(spark, sf)), "ids", ["seq"]), "seq")
 
 
 @query("subsets_proper", with_(SUBSETS.format(PICK, 2), "adds"))
 def subsets_proper(spark, sf):
-    return _text(P.expand_subsets(I.add_ids(spark, sf), "ids", ["seq"], proper=True), "seq")
+    return _text(P.expand_subsets(written(I.add_ids(spark, sf)), "ids", ["seq"], proper=True), "seq")
 
 
 @query("pattern_count", with_("SELECT array_to_string(pattern, ',') AS pattern, cnt FROM pc WHERE cnt > 0", "pc"))

@@ -42,4 +42,4 @@ def drop_one_subsets(items: str) -> Column:
 def joined(items: Column | str, sep: str = ",") -> Column:
     """Text form of an id array."""
     c = F.col(items) if isinstance(items, str) else items
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
+    return F.array_join(c.cast("array<string>"), sep)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,17 +47,22 @@ def expand_subsets(df: DataFrame, items: str = "ids", keep: Sequence[str] = (),
     """One row (keep..., pattern) per non-empty subset, in bit-mask order up to ``CHUNK`` items.
 
     Items are taken ``CHUNK`` at a time: a row never holds more than 2^CHUNK
-    arrays, however wide its basket is. The widest basket is measured first.
+    arrays, however wide its basket is. The widest basket is measured first, and baskets
+    beyond ``CHUNK`` items take a path of their own, so callers write ``df`` before.
     """
     widest = df.agg(F.max(F.size(items))).first()[0] or 0
-    rows = df.select(*keep, F.col(items).alias("__items"), F.slice(items, 1, 0).alias("pattern"))
-    for first in range(1, max(widest, 1) + 1, CHUNK):
-        rows = rows.withColumn("__part", F.slice("__items", first, CHUNK)).withColumn("__pick", F.explode(A.subsets("__part")))
-        rows = rows.withColumn("pattern", F.concat("pattern", "__pick"))
-    kept = F.size("pattern") > 0
-    if proper:
-        kept = kept & (F.size("pattern") < F.size("__items"))
-    return rows.where(kept).select(*keep, "pattern")
+    parts = [df.where(F.size(items) <= CHUNK), df.where(F.size(items) > CHUNK)] if widest > CHUNK else [df]
+    done = []
+    for part, most in zip(parts, (CHUNK, widest)):
+        rows = part.select(*keep, F.col(items).alias("__items"), F.explode(A.subsets(f"slice({items}, 1, {CHUNK})" if most > CHUNK else items)).alias("pattern"))
+        for first in range(CHUNK + 1, most + 1, CHUNK):
+            rows = rows.withColumn("__part", F.slice("__items", first, CHUNK)).withColumn("__pick", F.explode(A.subsets("__part")))
+            rows = rows.withColumn("pattern", F.concat("pattern", "__pick"))
+        kept = F.size("pattern") > 0
+        if proper:
+            kept = kept & (F.size("pattern") < F.size("__items"))
+        done.append(rows.where(kept).select(*keep, "pattern"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def net_baskets(baskets: DataFrame) -> DataFrame:
@@ -71,7 +77,7 @@ def pattern_counts(net: DataFrame) -> DataFrame:
     # keeps small partitions from being merged into one task; the second key
     # keeps the planner from merging this shuffle into the one below.
     wide = net.repartition(parallelism(net.sparkSession), "ids", "n")
-    rows = expand_subsets(wide, "ids", ["n"])
+    rows = expand_subsets(materialize(wide), "ids", ["n"])
     return rows.groupBy("pattern").agg(F.sum("n").alias("cnt")).where("cnt > 0")
 
 
