@@ -123,3 +123,16 @@ def test_wide_baskets_alone_take_the_long_path(spark):
     want = Counter((k, c) for k, ids in ((1, range(12)), (2, (3, 5))) for n in range(1, 13) for c in combinations(ids, n))
     assert got == want and "Union" in rows._jdf.queryExecution().toString()
     assert "lambda" not in df.select(A.joined("ids"))._jdf.queryExecution().toString()
+
+
+def test_clamped_counts_over_blocks(spark):
+    rnd = random.Random(11)
+    rows = [(k, sorted(rnd.sample(range(4), rnd.randrange(1, 4))), rnd.random() < 0.5) for k in range(60)]
+    want = Counter()
+    for _, ids, add in rows:
+        for n in range(1, len(ids) + 1):
+            for c in combinations(ids, n):
+                want[c] = max(0, want[c] + (1 if add else -1))
+    counts = P.clamped_pattern_counts(spark.createDataFrame(rows, "seq bigint, ids array<int>, is_add boolean"), width=7)
+    assert {tuple(r.pattern): r.cnt for r in counts.collect()} == {c: n for c, n in want.items() if n > 0}
+    assert "Join" not in counts._jdf.queryExecution().toString()

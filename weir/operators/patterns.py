@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..scale import RunningSum, broadcast_if_small, dense_index, dense_int_index, ordered_scan, parallelism
+from ..scale import BLOCK, DEFAULT_WIDTH, broadcast_if_small, dense_index, dense_int_index, int_block, parallelism
 from ..session import materialize
 
 # Items of a basket whose subsets are expanded at a time.
@@ -81,16 +81,24 @@ def pattern_counts(net: DataFrame) -> DataFrame:
     return rows.groupBy("pattern").agg(F.sum("n").alias("cnt")).where("cnt > 0")
 
 
-def clamped_pattern_counts(baskets: DataFrame, seq: str = "seq") -> DataFrame:
+def clamped_pattern_counts(baskets: DataFrame, seq: str = "seq", width: int = DEFAULT_WIDTH) -> DataFrame:
     """Counts in arrival order where a removal before its addition is forgotten.
 
     With running sum S, the clamped count is S minus the lowest value S ever
-    had below 0. ``seq`` is a unique integer.
+    had below 0. ``seq`` is a unique integer. Blocks of ``width`` arrivals are summed up as
+    (sum, lowest running sum), so a pattern's rows move once and its blocks are put together.
     """
-    rows = expand_subsets(materialize(baskets), "ids", [seq, "is_add"])
-    signed = rows.withColumn("step", F.when(F.col("is_add"), 1).otherwise(-1))
-    scanned = ordered_scan(signed, ["pattern"], [seq], [RunningSum("s", "step")])
-    last = scanned.groupBy("pattern").agg(F.sum("step").alias("total"), F.min("s").alias("low"))
+    # The subsets need more tasks than the baskets' bytes suggest.
+    spread = materialize(baskets.select("ids", seq, "is_add").repartition(parallelism(baskets.sparkSession)))
+    rows = expand_subsets(spread, "ids", [seq, "is_add"])
+    # The hash goes first: it is sorted by its value, an array only by comparing items.
+    signed = rows.select(F.xxhash64("pattern").alias("h"), "pattern", F.col(seq).alias("at"), int_block(seq, width).alias(BLOCK), F.when(F.col("is_add"), 1).otherwise(-1).alias("step"))
+    inside = Window.partitionBy("h", "pattern", BLOCK).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = signed.select("h", "pattern", BLOCK, "step", F.sum("step").over(inside).alias("s"))
+    blocks = scanned.groupBy("h", "pattern", BLOCK).agg(F.sum("step").alias("total"), F.min("s").alias("low"))
+    before = Window.partitionBy("h", "pattern").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select("h", "pattern", "total", (F.col("low") + F.coalesce(F.sum("total").over(before), F.lit(0))).alias("low"))
+    last = placed.groupBy("h", "pattern").agg(F.sum("total").alias("total"), F.min("low").alias("low"))
     return last.select("pattern", (F.col("total") - F.least(F.lit(0), "low")).alias("cnt")).where("cnt > 0")
 
 
