@@ -136,3 +136,14 @@ def test_clamped_counts_over_blocks(spark):
     counts = P.clamped_pattern_counts(spark.createDataFrame(rows, "seq bigint, ids array<int>, is_add boolean"), width=7)
     assert {tuple(r.pattern): r.cnt for r in counts.collect()} == {c: n for c, n in want.items() if n > 0}
     assert "Join" not in counts._jdf.queryExecution().toString()
+
+
+def test_folded_baskets_and_both_ways_to_mine(spark):
+    rnd = random.Random(12)
+    rows = [(sorted(rnd.sample(range(6), rnd.randrange(1, 6))), add) for k in range(80) for add in ([True, False] if k % 5 == 0 else [True])]
+    df = spark.createDataFrame(rows, "ids array<int>, is_add boolean")
+    as_dict = lambda d, c: {tuple(r["ids" if c == "n" else "pattern"]): r[c] for r in d.collect()}
+    net = P.net_baskets(df)
+    assert as_dict(P.net_baskets(P.folded_baskets(df), "rows"), "n") == as_dict(net, "n")
+    once, by_level = (as_dict(P.frequent_patterns(net, 5, most), "cnt") for most in (256, 0))
+    assert once and once == by_level

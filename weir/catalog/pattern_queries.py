@@ -104,8 +104,9 @@ def pattern_refcount(spark, sf):
 def pattern_changelog(spark, sf):
     """Changes caused by the removals after all additions were counted."""
     t = I.pattern_threshold(spark, sf)
-    before = P.maximal_patterns(P.frequent_patterns(P.net_baskets(I.add_ids(spark, sf).withColumn("is_add", F.lit(True))), t))
-    after = P.maximal_patterns(frequent(spark, sf))
+    folded = materialize(P.folded_baskets(I.basket_ids(spark, sf)))
+    before = P.maximal_patterns(P.frequent_patterns(P.net_baskets(folded.where("is_add"), "rows"), t))
+    after = P.maximal_patterns(P.frequent_patterns(P.net_baskets(folded, "rows"), t))
     return _text(P.maximal_changes(before, after), "is_maximal", "cnt")
 
 

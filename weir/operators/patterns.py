@@ -14,6 +14,8 @@ from ..session import materialize
 
 # Items of a basket whose subsets are expanded at a time.
 CHUNK = 10
+# Subsets of a basket, on average, up to which all are counted at once.
+MEAN_SUBSETS = 256
 
 
 def dictionary_from_lines(lines: DataFrame, seq: str = "seq", word: str = "word") -> DataFrame:
@@ -40,7 +42,7 @@ def join_dictionary(baskets: DataFrame, dictionary: DataFrame, keep: Sequence[st
 def basket_ids(baskets: DataFrame, dictionary: DataFrame, keep: Sequence[str] = ("seq", "is_add")) -> DataFrame:
     """Sorted distinct ids per basket; baskets without a known word vanish."""
     known = join_dictionary(baskets, dictionary, keep)
-    return known.groupBy(*keep).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return known.groupBy(*keep).agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
 def expand_subsets(df: DataFrame, items: str = "ids", keep: Sequence[str] = (), proper: bool = False) -> DataFrame:
@@ -65,9 +67,15 @@ def expand_subsets(df: DataFrame, items: str = "ids", keep: Sequence[str] = (),
     return reduce(DataFrame.unionByName, done)
 
 
-def net_baskets(baskets: DataFrame) -> DataFrame:
-    """Equal baskets folded into (ids, n), n = additions minus removals."""
-    sign = F.when(F.col("is_add"), 1).otherwise(-1)
+def folded_baskets(baskets: DataFrame) -> DataFrame:
+    """Equal baskets of one sign folded into (ids, is_add, rows)."""
+    return baskets.groupBy("ids", "is_add").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def net_baskets(baskets: DataFrame, rows: str | None = None) -> DataFrame:
+    """Equal baskets folded into (ids, n), n = additions minus removals; ``rows`` counts the baskets of a row."""
+    each = F.col(rows) if rows else F.lit(1)
+    sign = F.when(F.col("is_add"), each).otherwise(-each)
     return baskets.groupBy("ids").agg(F.sum(sign).alias("n")).where("n <> 0")
 
 
@@ -114,17 +122,24 @@ def prune_infrequent_items(net: DataFrame, threshold: int) -> DataFrame:
     """
     kept = net.withColumn("id", F.explode("ids")).join(frequent_items(net, threshold).select("id"), "id")
     # (ids, n) is unique per net basket, so it serves as the row key.
-    rebuilt = kept.groupBy("ids", "n").agg(F.array_sort(F.collect_set("id")).alias("kept"))
+    rebuilt = kept.groupBy("ids", "n").agg(F.sort_array(F.collect_set("id")).alias("kept"))
     return rebuilt.groupBy(F.col("kept").alias("ids")).agg(F.sum("n").alias("n"))
 
 
-def frequent_patterns(net: DataFrame, threshold: int) -> DataFrame:
+def frequent_patterns(net: DataFrame, threshold: int, mean_subsets: int = MEAN_SUBSETS) -> DataFrame:
     """Patterns with count >= threshold, for baskets of any width.
 
-    Level k extends the frequent patterns of size k - 1 inside each basket by
-    one larger frequent item, so rows grow with frequent patterns only.
+    Baskets of frequent items with ``mean_subsets`` subsets or fewer, on average, are
+    counted in one pass over their subsets. Wider ones go level by level: level k extends
+    the frequent patterns of size k - 1 inside each basket by one larger frequent item,
+    so rows grow with frequent patterns only.
     """
-    base = materialize(prune_infrequent_items(materialize(net), threshold))
+    pruned = prune_infrequent_items(materialize(net), threshold)
+    base = materialize(pruned.repartition(parallelism(net.sparkSession), "ids", "n"))
+    rows, subsets = base.agg(F.count(F.lit(1)), F.sum(F.pow(F.lit(2.0), F.size("ids")))).first()
+    if rows and subsets <= rows * mean_subsets:
+        every = expand_subsets(base, "ids", ["n"])
+        return every.groupBy("pattern").agg(F.sum("n").alias("cnt")).where(F.col("cnt") >= threshold)
     step = base.select("ids", "n", F.explode("ids").alias("item")).select("ids", "n", F.array("item").alias("pattern"))
     found = None
     while True:
