@@ -115,3 +115,12 @@ def test_repeated_rows_and_clashing_columns(spark):
     kept = neardup.deduplicate(df)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] is None, r["source"]) for r in kept.collect()) == [(False, "a"), (True, "y")]
+
+
+def test_fingerprints_are_a_band(spark):
+    """Sets whose fingerprints differ in three bits share one band more, those further apart don't; the empty set has none."""
+    rows = [(1, [5], 0b0), (2, [6], 0b111), (3, [7], 0b111111), (4, [8], -1), (5, [], 0)]
+    df = spark.createDataFrame(rows, "sh long, bands array<long>, fp long")
+    got = {r["sh"]: r["bands"] for r in neardup.with_print_band(df).collect()}
+    assert got[1][1] == got[2][1] == got[3][1] != got[4][1] and got[5] == []
+    assert all(got[k][0] == 4 + k and len(got[k]) == 2 for k in (1, 2, 3, 4))

@@ -4,7 +4,9 @@ Two documents link if their sets of ``SHINGLE``-word shingles have a Jaccard
 similarity of ``LEAST`` or more, counted on 32-bit shingle hashes. Documents
 with equal sets (64-bit hashes) collapse first. Candidates come from MinHash: ``BANDS`` bands of
 ``ROWS`` minima each; a pair of similarity s meets in some band with probability
-1 - (1 - s^ROWS)^BANDS: 99.93 % at 0.8, 99.9999 % at 0.9. Every such pair is settled.
+1 - (1 - s^ROWS)^BANDS: 99.93 % at 0.8, 99.9999 % at 0.9. SimHash, as in ``op9_simhash`` but over
+the set of these shingles, gives one band more: its value is the component of fingerprints that link at
+``simhash.RADIUS`` or fewer differing bits, found with covering masks. Every pair that meets in a band is settled.
 
 No bucket is paired off in full. In each of ``ROUNDS`` rounds a bucket's members are
 compared with one of them, the hub, unless they are in its component already; then the
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scale import broadcast_if_small
+from . import simhash
 from .common import discard, join_counted, release, stored, text_key, with_columns
 from .components import connected_components
 
@@ -76,9 +79,11 @@ def signature(own: np.ndarray) -> tuple[int, list[int]]:
     return name, np.array(bands, "u8").view("i8").tolist()
 
 
-@F.pandas_udf(T.StructType([T.StructField("sh", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("sh", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]))
 def _signatures(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([signature(shingles(t)) for t in texts], columns=["sh", "bands"])
+    sets = [shingles(t) for t in texts]
+    prints = np.array([simhash.print_of(own) for own in sets], "u8").view("i8")
+    return pd.DataFrame([(*signature(own), fp) for own, fp in zip(sets, prints.tolist())], columns=["sh", "bands", "fp"])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -170,6 +175,17 @@ def prefix_pairs(tokens: DataFrame, roots: DataFrame, wide: int = WIDE) -> DataF
     return pairs
 
 
+def with_print_band(by_set: DataFrame) -> DataFrame:
+    """Sets (sh, bands, fp) with the component of their fingerprint as a band more; the empty set has none."""
+    prints = stored(by_set.where(F.size("bands") > 0).select("fp").distinct())
+    roots = connected_components(simhash.links(prints))
+    linked = by_set.join(roots, F.col("fp") == F.col("node"), "left")
+    own = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
+    done = stored(linked.select("sh", F.when(F.size("bands") > 0, F.array_append("bands", own)).otherwise(F.col("bands")).alias("bands")))
+    discard(by_set.sparkSession, prints)
+    return done
+
+
 def links(by_set: DataFrame, sets_of, tokens_of, rounds: int = ROUNDS) -> DataFrame | None:
     """(node, root) of the sets ``sh`` that link to others; None if no bucket has two members.
 
@@ -222,9 +238,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", round
     spark = df.sparkSession
     release(spark)
     rows = df.select(F.col(id_col).alias("id"), text_key(text).alias("th"), _signatures(F.col(text)).alias("s"))
-    rows = stored(rows.select("id", "th", "s.sh", "s.bands"))
+    rows = stored(rows.select("id", "th", "s.sh", "s.bands", "s.fp"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("th")))
-    by_set = rows.groupBy("sh").agg(first.alias("first"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
+    by_set = rows.groupBy("sh").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
     by_set = stored(by_set)
 
     def named(which: DataFrame, how: str = "inner") -> DataFrame:
@@ -244,7 +260,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", round
         cut = texts_of(shared).select("sh", _tokens("t").alias("own"))
         return cut.select("sh", F.size("own").alias("size"), F.explode("own").alias("w"))
 
-    roots = links(by_set, sets_of, tokens_of, rounds)
+    banded = with_print_band(by_set)
+    roots = links(banded, sets_of, tokens_of, rounds)
     grouped = by_set.select("sh", "first", "n")
     if roots is not None:
         grouped = grouped.join(roots, F.col("sh") == F.col("node"), "left").select("sh", "first", "n", F.coalesce("root", "sh").alias("root"))
@@ -259,5 +276,5 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", round
     gone, twice = stored(gone), stored(twice)
     left = named(gone.unionByName(twice), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
     again = named(twice).groupBy("__id", "__th").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("row"))
-    discard(spark, rows, by_set, best, members)
+    discard(spark, rows, by_set, banded, best, members)
     return left.unionByName(again.select("row.*"))

@@ -56,7 +56,11 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     else:
         parts = zip(*(words[i:] for i in range(size)))
         hashes = [h64(b" ".join(p), SEED) for p in parts]
-    h = np.array(hashes, "<u8")
+    return print_of(np.array(hashes, "<u8"))
+
+
+def print_of(h: np.ndarray) -> int:
+    """Fingerprint of some shingle hashes: bit i is set if over half of them have it set."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), _ROWS):
         bits = np.unpackbits(h[at : at + _ROWS].view(np.uint8), bitorder="little").reshape(-1, 64)
