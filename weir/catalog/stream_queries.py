@@ -15,7 +15,7 @@ from ..sources.queue import Queue
 from ..streaming.carry import carry_forward
 from ..streaming.fanout import fan_out, parquet_writer
 from ..streaming.pending import correlate_with_tries, merge_on_last
-from ..streaming.runs import drain_to_parquet, parquet_stream
+from ..streaming.runs import drain_all_to_parquet, drain_to_parquet, parquet_stream
 from . import inputs as I
 from .pattern_queries import DISTANCE, MIN_NEIGHBORS, PROJECTIONS, moving, projected
 from .registry import ORACLES, query
@@ -166,8 +166,8 @@ def order_queue(spark, sf):
 
 @query("queue_stream", f'SELECT "offset", o_orderkey, o_totalprice FROM {QUEUE}')
 def queue_stream(spark, sf):
-    """All rows of the queue as a stream, two segments a batch."""
-    return drain_to_parquet(order_queue(spark, sf).stream(8192), "queue-run")
+    """All rows of the queue as a stream, two segments a batch; ten consumers share the segments."""
+    return drain_all_to_parquet(order_queue(spark, sf).streams(8192, 10), "queue-run")
 
 
 @query("queue_range", f'SELECT "offset", o_orderkey, o_totalprice FROM {QUEUE} WHERE "offset" >= 6000 AND "offset" < 11000')

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from ..scale import dense_index
 
 SEGMENT_ROWS = 1 << 16
+# Segments are dealt to consumers by their last digit, which a path pattern can name.
+CONSUMERS = (1, 2, 5, 10)
 OFFSET, SEGMENT = "offset", "segment"
 
 
@@ -70,13 +72,24 @@ class Queue:
         segments = F.col(SEGMENT).between(start // self.size, (stop - 1) // self.size)
         return self._rows().where(segments & (F.col(OFFSET) >= start) & (F.col(OFFSET) < stop)).drop(SEGMENT)
 
-    def stream(self, rows_per_trigger: int | None = None) -> DataFrame:
+    def stream(self, rows_per_trigger: int | None = None, consumer: int = 0, consumers: int = 1) -> DataFrame:
         """The rows as a stream, those of one append before those of the next one.
 
         A micro-batch takes at most ``rows_per_trigger`` rows, rounded down to whole segments, one at
         least. The stream's checkpoint keeps what was read, so a failed batch is read again with the same rows.
+        Several ``consumers`` (1, 2, 5 or 10) share the queue: number ``consumer`` takes every segment whose
+        number leaves that remainder, so all of them together read each row once. The order of appends holds for each alone.
         """
+        if consumers not in CONSUMERS or not 0 <= consumer < consumers:
+            raise ValueError(f"consumer {consumer} of {consumers}: the number of consumers must be one of {CONSUMERS}")
         reader = self.spark.readStream.schema(self.schema)
         if rows_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max(1, rows_per_trigger // self.size))
-        return reader.parquet(self.folder).drop(SEGMENT)
+        if consumers == 1:
+            return reader.parquet(self.folder).drop(SEGMENT)
+        digits = "".join(str(d) for d in range(consumer, 10, consumers))
+        return reader.option("basePath", self.folder).parquet(f"{self.folder}/{SEGMENT}=*[{digits}]").drop(SEGMENT)
+
+    def streams(self, rows_per_trigger: int | None, consumers: int) -> list[DataFrame]:
+        """The streams of all ``consumers``, each with batches of its own."""
+        return [self.stream(rows_per_trigger, k, consumers) for k in range(consumers)]

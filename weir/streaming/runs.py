@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import run_dir
 
@@ -34,14 +36,41 @@ def drain_to_parquet(stream: DataFrame, label: str, folder: str | None = None) -
     A given ``folder`` keeps offsets and state between runs, so a second run
     continues where the first one stopped.
     """
-    spark = stream.sparkSession
-    folder = folder or run_dir(spark, label)
-    query = (
+    folder = folder or run_dir(stream.sparkSession, label)
+    _append(stream, folder).awaitTermination()
+    return _appended(stream, folder)
+
+
+def drain_all_to_parquet(streams: Sequence[DataFrame], label: str, folder: str | None = None) -> DataFrame:
+    """Append-mode runs of several streams side by side until all sources are empty; returns the rows of all.
+
+    A micro-batch costs the driver some time however few rows it has, so consumers that
+    share a source get through more batches together. Each has its own offsets and rows
+    below ``folder``; if one fails the others are stopped, and a second run continues all.
+    """
+    folder = folder or run_dir(streams[0].sparkSession, label)
+    folders = [f"{folder}/{k}" for k in range(len(streams))]
+    running = []
+    try:
+        for stream, place in zip(streams, folders):
+            running.append(_append(stream, place))
+        for query in running:
+            query.awaitTermination()
+    finally:
+        for query in running:
+            query.stop()
+    return functools.reduce(DataFrame.unionByName, map(_appended, streams, folders))
+
+
+def _append(stream: DataFrame, folder: str) -> StreamingQuery:
+    return (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows")
         .option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def _appended(stream: DataFrame, folder: str) -> DataFrame:
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, mode: str = "update") -> None:
