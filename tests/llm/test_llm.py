@@ -67,6 +67,37 @@ def test_bpe_equals_the_library(spark, rnd):
         assert own.decode(own.encode(t)) == tok.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_handles_the_new_words_of_a_batch_together(rnd):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.default_path())
+    spec = open(bpe.default_path(), encoding="utf-8").read()
+    own, alone, forgetful = bpe.Bpe(spec), bpe.Bpe(spec), bpe.Bpe(spec, entries=2)
+    parts = ["th", "e", "ing", "a", "tion", "é", "ß", "qu", "x", "ss", "ed", "st", "r", "ñ", "漢"]
+    ends = ["", "", ".", "!!", ",", "'s", "'", "%%%", "19", "½", "-a", "<|endoftext|>"]
+    word = lambda: "".join(rnd.choices(parts, k=rnd.randrange(1, 12))) + rnd.choice(ends)
+    texts = [" ".join(word() for _ in range(rnd.randrange(1, 60))) for _ in range(200)] + [None, "", "  ", "<|endoftext|>", "th" * 500]
+    one_by_one = []
+    own.encode_symbols = lambda w, f=own.encode_symbols: one_by_one.append(w) or f(w)
+    got = own.encode_all(texts)
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == (tok.encode(t, add_special_tokens=False).ids if t else [])
+        assert ids == alone.encode(t) == forgetful.encode(t)
+    assert own.encode_all(texts) == got == forgetful.encode_all(texts)
+    assert own.encode_all([]) == []
+    # Only long words, and the few words that are left at the end, are handled alone.
+    assert sum(len(w) <= bpe.LONG for w in one_by_one) < bpe.FEW
+    assert max(len(forgetful.of_chunk.young), len(forgetful.of_chunk.old)) <= 2
+
+
+def test_bpe_tables_of_whole_numbers(rnd):
+    keys = np.array(rnd.sample(range(10**9), 3000) + [0])
+    table = bpe.Table(keys, np.arange(3001))
+    assert table.get(keys).tolist() == list(range(3001))
+    assert (table.get(np.setdiff1d(np.arange(5000), keys)) == -1).all()
+    assert bpe.Table(np.array([], np.int64), np.array([], np.int64)).get(np.arange(9)).tolist() == [-1] * 9
+
+
 def test_mixing_targets_and_tree(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 100)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
