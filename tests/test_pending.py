@@ -1,5 +1,7 @@
 """Keyed waiting: rows come when they are complete, not with the watermark; tries, expiry, restart."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from weir.streaming.pending import correlate_with_tries, merge_on_last
@@ -73,3 +75,40 @@ def test_three_tries(spark, tmp_path):
     executed((94, "tick", 200_000))
     run()
     assert state_rows(spark, folder) == 1  # the last tick
+
+
+def test_traces_of_a_bucket_share_calls_and_state(spark, tmp_path):
+    """One bucket and a bucket per trace give the same rows; nulls and large numbers come through."""
+    rnd, c, e, folders, now = random.Random(4), tmp_path / "c", tmp_path / "e", {n: str(tmp_path / f"s{n}") for n in (1, 1 << 20)}, 0
+    timed = lambda data, kind, name: spark.createDataFrame(data, kind).withColumn(name, F.timestamp_millis(F.col("at") * 1000 + T0)).drop("at")
+
+    def run(n):
+        joined = correlate_with_tries(stream(spark, c), stream(spark, e), buckets=n)
+        return rows(drain_to_parquet(joined, "tries", folders[n]))
+
+    big = 2**53 + 1
+    for batch in range(3):
+        # A null trace and the trace 0 are two.
+        done = [(t, rnd.choice([None, big, 8]), now + rnd.randrange(50)) for t in rnd.sample([None, *range(25)], 8)]
+        ran = [(rnd.choice([None, *range(25)]), rnd.choice(["a", "b", None]), rnd.choice([None, big]), rnd.choice([None, 6]), now + rnd.randrange(50)) for _ in range(12)]
+        put(timed(done, "trace bigint, latency bigint, at bigint", "done_at"), c)
+        put(timed(ran, "trace bigint, component string, arrival bigint, departure bigint, at bigint", "ran_at"), e)
+        got = {n: run(n) for n in folders}
+        assert got[1] == got[1 << 20]
+        assert state_rows(spark, folders[1]) <= 2 < state_rows(spark, folders[1 << 20])
+        now += 200 if batch else 70
+    assert {r[2] for r in got[1]} >= {0, 3} and any(r[4] == big for r in got[1])
+    put(timed([(500, "tick", 1, 1, 200_000)], "trace bigint, component string, arrival bigint, departure bigint, at bigint", "ran_at"), e)
+    assert run(1) == run(1 << 20)
+
+
+def test_one_call_takes_many_traces(spark, tmp_path):
+    """Three thousand traces in eight state rows, of which the executions without completion are left."""
+    c, e, folder = tmp_path / "c", tmp_path / "e", str(tmp_path / "s")
+    ids = spark.range(3000).withColumnRenamed("id", "trace")
+    at = F.timestamp_millis(F.lit(T0))
+    put(ids.where("trace % 3 > 0").select("trace", F.lit(9).alias("latency"), at.alias("done_at")), c)
+    put(ids.where("trace % 3 < 2").select("trace", F.lit("a").alias("component"), F.lit(1).alias("arrival"), F.lit(2).alias("departure"), at.alias("ran_at")), e)
+    out = drain_to_parquet(correlate_with_tries(stream(spark, c), stream(spark, e), buckets=8), "tries", folder)
+    assert rows(out) == rows(ids.where("trace % 3 = 1").selectExpr("trace", "9", "0", "'a'", "1", "2"))
+    assert state_rows(spark, folder) == 8
