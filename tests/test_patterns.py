@@ -138,6 +138,36 @@ def test_clamped_counts_over_blocks(spark):
     assert "Join" not in counts._jdf.queryExecution().toString()
 
 
+def replayed(rows):
+    count = Counter()
+    for _, ids, add in sorted(rows, key=lambda r: r[0]):
+        for n in range(1, len(ids) + 1):
+            for c in combinations(ids, n):
+                count[c] = max(0, count[c] + (1 if add else -1))
+    return {c: n for c, n in count.items() if n > 0}
+
+
+@pytest.mark.parametrize("limits", [{}, {"most": 40, "rows": 64}, {"width": 5, "rows": 16}])
+def test_clamped_counts_over_segments(spark, limits):
+    """More items than a mask holds, baskets of more subsets than are made at a time, arrivals in no order of files; empty and missing baskets."""
+    rnd = random.Random(21)
+    rows = [(k * 3 - 200, sorted(rnd.sample(range(-5, 5) if k % 3 else range(70), rnd.randrange(1, 6))), rnd.random() < 0.6) for k in range(300)]
+    rows += [(10_000, list(range(9)), True), (10_001, list(range(1, 9)), False), (-900, [2, 69], False)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([*rows, (5, [], True), (6, None, True)], "seq bigint, ids array<int>, is_add boolean")
+    got = P.clamped_pattern_counts(df, **limits).collect()
+    assert len(got) == len({tuple(r.pattern) for r in got})
+    assert {tuple(r.pattern): r.cnt for r in got} == replayed(rows)
+
+
+def test_a_range_of_arrivals_moves_each_pattern_once(spark):
+    """A thousand baskets of three items give 7 rows, not 7,000."""
+    df = spark.range(1000).selectExpr("array(4, 7, 9) AS ids", "id % 3 > 0 AS is_add").coalesce(1)
+    sums = df.mapInArrow(P._segment_sums(1000, 1000, 1000), "pattern array<int>, block bigint, total bigint, low bigint").collect()
+    assert sorted(tuple(r.pattern) for r in sums) == sorted(c for n in (1, 2, 3) for c in combinations((4, 7, 9), n))
+    assert {(r.total, r.low) for r in sums} == {(332, -1)}
+
+
 def test_folded_baskets_and_both_ways_to_mine(spark):
     rnd = random.Random(12)
     rows = [(sorted(rnd.sample(range(6), rnd.randrange(1, 6))), add) for k in range(80) for add in ([True, False] if k % 5 == 0 else [True])]

@@ -5,17 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..scale import BLOCK, DEFAULT_WIDTH, broadcast_if_small, dense_index, dense_int_index, int_block, parallelism
-from ..session import materialize
+from ..scale import BLOCK, DEFAULT_WIDTH, broadcast_if_small, dense_index, dense_int_index, parallelism
+from ..session import materialize, run_dir
 
 # Items of a basket whose subsets are expanded at a time.
 CHUNK = 10
 # Subsets of a basket, on average, up to which all are counted at once.
 MEAN_SUBSETS = 256
+# Items and baskets that a key of 64 bits tells apart: a mask of items over a position.
+MASK_ITEMS, MASK_BASKETS = 48, 1 << 16
+# Patterns that a task keeps for a segment of arrivals, and subsets that it makes at a time.
+SEGMENT_PATTERNS, SEGMENT_ROWS = 1 << 20, 1 << 21
 
 
 def dictionary_from_lines(lines: DataFrame, seq: str = "seq", word: str = "word") -> DataFrame:
@@ -89,21 +96,132 @@ def pattern_counts(net: DataFrame) -> DataFrame:
     return rows.groupBy("pattern").agg(F.sum("n").alias("cnt")).where("cnt > 0")
 
 
-def clamped_pattern_counts(baskets: DataFrame, seq: str = "seq", width: int = DEFAULT_WIDTH) -> DataFrame:
+def _segment_sums(width: int, most: int, rows: int):
+    """Folds baskets that come in arrival order into (pattern, block, total, low) per segment of a partition.
+
+    ``low`` is the lowest running sum, 0 at most. A pattern is a mask over the items of its segment. A segment ends after
+    ``width`` baskets, beyond ``most`` patterns or where its items are more than a mask holds; about ``rows`` subsets
+    are made at a time. The helpers are inside so that they travel along: workers need not have the package.
+    """
+
+    def combined(masks, totals, lows):
+        """Rows of equal masks, in their order, as one."""
+        order = np.argsort(masks, kind="stable")
+        masks, totals, lows = masks[order], totals[order], lows[order]
+        starts = np.flatnonzero(np.concatenate([[True], masks[1:] != masks[:-1]]))
+        before = np.cumsum(totals) - totals
+        before -= np.repeat(before[starts], np.diff(np.append(starts, len(masks))))
+        return masks[starts], np.add.reduceat(totals, starts), np.minimum.reduceat(before + lows, starts)
+
+    def subsets(bits, sizes):
+        """Masks of all non-empty subsets and the position of their basket; a basket beyond ``rows`` subsets is alone and comes in pieces."""
+        if len(sizes) == 1 and 1 << sizes[0] > rows:
+            low = rows.bit_length() - 1
+            piece = np.zeros(1, np.uint64)
+            for bit in bits[:low]:
+                piece = np.concatenate([piece, piece | bit])
+            for high in range(1 << (len(bits) - low)):
+                mask = np.bitwise_or.reduce([b for k, b in enumerate(bits[low:]) if high >> k & 1] or [np.uint64(0)])
+                masks = piece | mask if high else piece[1:]
+                yield masks, np.zeros(len(masks), np.uint64)
+            return
+        starts, made, at = np.cumsum(sizes) - sizes, [], []
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            items, masks = bits[starts[own][:, None] + np.arange(n)], np.zeros((len(own), 1), np.uint64)
+            for k in range(n):
+                masks = np.concatenate([masks, masks | items[:, k : k + 1]], axis=1)
+            made.append(masks[:, 1:].ravel())
+            at.append(np.repeat(own.astype(np.uint64), masks.shape[1] - 1))
+        yield np.concatenate(made), np.concatenate(at)
+
+    def fold(batches):
+        from pyspark import TaskContext
+
+        place, flushed, kind = TaskContext.get().partitionId() << 32, 0, None
+        items, parts, held, merged, taken = {}, [], 0, 0, 0
+
+        def flush():
+            nonlocal items, parts, held, merged, taken, flushed
+            if parts:
+                masks, totals, lows = combined(*map(np.concatenate, zip(*parts)))
+                ids = np.array(sorted(items))
+                bits = np.array([items[i] for i in ids.tolist()], np.uint64)
+                for k in range(0, len(masks), 1 << 16):
+                    row, which = np.nonzero(masks[k : k + (1 << 16), None] & bits)
+                    n = min(len(masks) - k, 1 << 16)
+                    pattern = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(n + 1)).astype(np.int32), pa.array(ids[which], kind))
+                    block = np.full(n, place + flushed, np.int64)
+                    yield pa.RecordBatch.from_arrays([pattern, pa.array(block), pa.array(totals[k : k + n]), pa.array(lows[k : k + n])], ["pattern", "block", "total", "low"])
+                flushed += 1
+            items, parts, held, merged, taken = {}, [], 0, 0, 0
+
+        def add(values, sizes, step):
+            """The baskets in order, in runs that a segment's masks and ``rows`` allow."""
+            nonlocal parts, held, merged, taken
+            found = np.unique(values).tolist()
+            if len(sizes) > 1 and (len(found) > MASK_ITEMS or len(sizes) > min(width, MASK_BASKETS) or (1 << sizes).sum() > rows):
+                half = len(sizes) // 2
+                cut = sizes[:half].sum()
+                yield from add(values[:cut], sizes[:half], step[:half])
+                yield from add(values[cut:], sizes[half:], step[half:])
+                return
+            if len(found) > MASK_ITEMS:
+                raise ValueError(f"a basket of {len(found)} items has too many subsets to list")
+            if taken + len(sizes) > width or len(items.keys() | set(found)) > MASK_ITEMS:
+                yield from flush()
+            for i in found:
+                items.setdefault(i, 1 << len(items))
+            taken += len(sizes)
+            bits = np.array([items[i] for i in found], np.uint64)[np.searchsorted(found, values)]
+            shift, last = np.uint64(MASK_BASKETS.bit_length() - 1), np.uint64(MASK_BASKETS - 1)
+            for masks, at in subsets(bits, sizes):
+                keys = masks << shift | at
+                keys.sort()
+                steps = step[(keys & last).astype(np.int64)]
+                parts.append(combined(keys >> shift, steps, np.minimum(steps, 0)))
+                held += len(parts[-1][0])
+                if held > max(2 * merged, rows):
+                    parts = [combined(*map(np.concatenate, zip(*parts)))]
+                    held = merged = len(parts[0][0])
+                    if merged > most:
+                        kept = items
+                        yield from flush()
+                        items.update(kept)
+
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("ids")), 0))
+            if batch.num_rows:
+                ids = batch.column("ids")
+                kind = ids.type.value_type
+                step = np.where(batch.column("is_add").fill_null(False).to_numpy(zero_copy_only=False), 1, -1)
+                yield from add(ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), step)
+        yield from flush()
+
+    return fold
+
+
+def clamped_pattern_counts(
+    baskets: DataFrame, seq: str = "seq", width: int = DEFAULT_WIDTH, most: int = SEGMENT_PATTERNS, rows: int = SEGMENT_ROWS
+) -> DataFrame:
     """Counts in arrival order where a removal before its addition is forgotten.
 
     With running sum S, the clamped count is S minus the lowest value S ever
-    had below 0. ``seq`` is a unique integer. Blocks of ``width`` arrivals are summed up as
-    (sum, lowest running sum), so a pattern's rows move once and its blocks are put together.
+    had below 0. ``seq`` is a unique integer. Baskets (sorted distinct ids) are dealt out by ranges of arrivals, and a task sums up
+    the subsets of its range as (sum, lowest running sum) per pattern, in segments of ``width`` arrivals or fewer; only
+    these move, and a pattern's segments are put together in order.
     """
-    # The subsets need more tasks than the baskets' bytes suggest.
-    spread = materialize(baskets.select("ids", seq, "is_add").repartition(parallelism(baskets.sparkSession)))
-    rows = expand_subsets(spread, "ids", [seq, "is_add"])
+    spark = baskets.sparkSession
+    folder = run_dir(spark, "arrivals")  # read twice: for the borders of the ranges and for the rows
+    baskets.select("ids", seq, "is_add").write.parquet(folder)
+    written = spark.read.schema(baskets.select("ids", seq, "is_add").schema).parquet(folder)
+    # Few ranges, as a pattern moves once for each; some for every core, as they differ in subsets.
+    ranges = min(parallelism(spark), 8 * spark.sparkContext.defaultParallelism)
+    ordered = written.repartitionByRange(ranges, seq).sortWithinPartitions(seq).select("ids", "is_add")
+    kind = baskets.schema["ids"].dataType.simpleString()
+    sums = ordered.mapInArrow(_segment_sums(width, most, rows), f"pattern {kind}, block bigint, total bigint, low bigint")
     # The hash goes first: it is sorted by its value, an array only by comparing items.
-    signed = rows.select(F.xxhash64("pattern").alias("h"), "pattern", F.col(seq).alias("at"), int_block(seq, width).alias(BLOCK), F.when(F.col("is_add"), 1).otherwise(-1).alias("step"))
-    inside = Window.partitionBy("h", "pattern", BLOCK).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = signed.select("h", "pattern", BLOCK, "step", F.sum("step").over(inside).alias("s"))
-    blocks = scanned.groupBy("h", "pattern", BLOCK).agg(F.sum("step").alias("total"), F.min("s").alias("low"))
+    blocks = sums.select(F.xxhash64("pattern").alias("h"), "pattern", F.col("block").alias(BLOCK), "total", "low")
     before = Window.partitionBy("h", "pattern").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.select("h", "pattern", "total", (F.col("low") + F.coalesce(F.sum("total").over(before), F.lit(0))).alias("low"))
     last = placed.groupBy("h", "pattern").agg(F.sum("total").alias("total"), F.min("low").alias("low"))
